@@ -18,12 +18,12 @@ HEAVY, LIGHT = "IGH", "IGK"
 def recount_from_reads(reads: DataFrame, panel: DataFrame, geometry: R.Geometry, small: bool | None = None) -> DataFrame:
     """(sampleId, cellId, feature, umiCount): distinct molecules recounted from the reads; `panel` is (tag, feature)."""
     mols = R.molecules(R.extract_tags(reads, geometry))
-    named = panel.select(F.col("tag").alias("FEATURE"), "feature").distinct()
+    named = panel.select(F.col("tag").alias("code"), F.col("feature").alias("antigen")).distinct()
     # two barcodes of one antigen may share a molecule id, which is then one molecule of the antigen
-    antigens = joins.lookup(mols.withColumnRenamed("FEATURE", "code"), named.withColumnRenamed("FEATURE", "code"), ["code"], "inner", small)
+    antigens = joins.lookup(mols.withColumnRenamed("FEATURE", "code"), named, ["code"], "inner", small)
     return (
-        antigens.select("sampleId", F.col("CELL").alias("cellId"), "feature", "UMI").distinct()
-        .groupBy("sampleId", "cellId", "feature").agg(F.count(F.lit(1)).alias("umiCount"))
+        antigens.select("sampleId", F.col("CELL").alias("cellId"), "antigen", "UMI").distinct()
+        .groupBy("sampleId", "cellId", F.col("antigen").alias("feature")).agg(F.count(F.lit(1)).alias("umiCount"))
     )
 
 

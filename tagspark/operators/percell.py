@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import joins
 from ..functions import terms as t
-from ..functions.text import filled
+from ..functions.text import filled, trim_all
 
 MODES = ("sum", "all")
 SAMPLE_KEYS = 8
@@ -32,8 +32,6 @@ def check_mapping(mapping: DataFrame, combine_column: str | None = None) -> None
 
 def clean_mapping(mapping: DataFrame, barcode: str = "tag", feature: str = "feature") -> DataFrame:
     """The mapping with its two roles stripped and named `tag` and `feature`."""
-    from ..functions.text import trim_all
-
     if barcode == feature:
         raise ValueError("the barcode and feature columns must differ")
     rest = [c for c in mapping.columns if c not in (barcode, feature)]
@@ -64,8 +62,8 @@ def cell_feature_counts(
     features = mapping.groupBy(*scope, "feature").agg(
         F.coalesce(mode, F.lit("sum")).alias("mode"), F.count_distinct("tag").alias("members")
     )
-    tags = mapping.select(*scope, F.col("tag").alias("FEATURE"), "feature").join(F.broadcast(features), [*scope, "feature"])
-    renamed = tags.withColumnRenamed("feature", "antigen").withColumnRenamed("FEATURE", "tag")
+    tags = mapping.select(*scope, "tag", "feature").join(F.broadcast(features), [*scope, "feature"])
+    renamed = tags.withColumnRenamed("feature", "antigen")
     reads = stat.select("sampleId", F.col("CELL").alias("cellId"), F.col("FEATURE").alias("tag"), "unique_UMI")
     return (
         joins.lookup(reads, renamed, [*scope, "tag"], "inner", small)

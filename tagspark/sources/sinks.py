@@ -31,7 +31,8 @@ def write_sorted(df: DataFrame, path: str, keys: list[str]) -> None:
     For tables a reader opens; large tables go to `write_table`.
     """
     ordered = df.coalesce(1).sortWithinPartitions(*keys)
-    ordered.write.mode("overwrite").options(header=True, emptyValue="", nullValue="").csv(path)
+    as_written = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    ordered.write.mode("overwrite").options(header=True, emptyValue="", nullValue="", **as_written).csv(path)
 
 
 def write_table(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
