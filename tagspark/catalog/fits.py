@@ -24,7 +24,7 @@ def _moments(side: str) -> str:
 
 
 def _component(side: str) -> str:
-    return f"""SELECT "sampleId", tag, m, CASE WHEN v > m THEN m * m / (v - m) ELSE 1e6 END AS s, w FROM (SELECT "sampleId", tag, {_moments(side)} FROM hist GROUP BY 1, 2)
+    return f"""SELECT "sampleId", tag, greatest(m, 1e-6) AS m, CASE WHEN v > m THEN m * m / (v - m) ELSE 1e6 END AS s, w FROM (SELECT "sampleId", tag, {_moments(side)} FROM hist GROUP BY 1, 2)
         WHERE CAST(substr(tag, 7) AS INTEGER) % 5 <> 0"""
 
 
@@ -57,7 +57,7 @@ def given_fits(hist):
         mean = F.sum(v * w) / F.sum(w)
         var = F.sum(v * v * w) / F.sum(w) - mean * mean
         size = F.when(var > mean, mean * mean / (var - mean)).otherwise(M.POISSON_SIZE)
-        return [mean.alias(f"{name}Mean"), size.alias(f"{name}Size"), (F.sum(w) / F.sum("cells")).alias(f"{name}Weight")]
+        return [F.greatest(mean, F.lit(M.MIN_MEAN)).alias(f"{name}Mean"), size.alias(f"{name}Size"), (F.sum(w) / F.sum("cells")).alias(f"{name}Weight")]
 
     made = hist.groupBy("sampleId", "tag").agg(
         F.sum("cells").alias("cells"), *part("background", F.col("umiCount") < 10), *part("signal", F.col("umiCount") >= 10)
