@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import joins
 from ..operators import mixture as M
 from ..operators import quality as Q
 from ..operators import sets as S
@@ -172,7 +173,7 @@ def verdicts_on_fitted_background(spark, sf):
     hist = stage(histogram(bed), "histogram")
     fits = given_fits(hist)
     curve = stage(M.score_curve(fits, hist, 12, bed.refs, bed.small), "curve")
-    floored = X.apply_floor(bed.counts, 12, bed.refs, bed.small).join(F.broadcast(bed.refs), "tag", "left_anti")
+    floored = joins.lookup(X.apply_floor(bed.counts, 12, bed.refs, bed.small), bed.refs, ["tag"], "left_anti", bed.small)
     found = M.identity_probabilities(bed.counts, bed.cell_list, curve, bed.grouping, 12, bed.refs, bed.small)
     reference = X.reference_declared(bed.counts, bed.refs, None, bed.small)
     states = X.read_states_probability(X.combine_tags(floored, bed.grouping, bed.small), found, X.gate_cells(reference, roles.GATE))

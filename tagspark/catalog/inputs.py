@@ -105,18 +105,23 @@ def refine_report_read(spark, sf):
     return tables.read_refine_reports(spark, path)
 
 
-@query('SELECT "sampleId", "cellId", tag, "umiCount", row_number() OVER (ORDER BY "sampleId", "cellId", tag) AS line FROM counts')
+@query('SELECT "sampleId", "cellId", tag, "umiCount", true AS "inOrder" FROM counts')
 def sorted_write(spark, sf):
-    """Written in key order as one file; `line` is the position the file gives a row."""
+    """Written in key order and read back: each row follows the one before it in its file, and each file the last."""
     from pyspark.sql.window import Window
 
     path = _folder(spark, "sorted.csv")
-    sinks.write_sorted(roles.counts(spark, sf).select("sampleId", "cellId", "tag", "umiCount"), path, ["sampleId", "cellId", "tag"])
-    back = spark.read.option("header", True).csv(path).withColumn("at", F.monotonically_increasing_id())
-    return back.select(
-        "sampleId", "cellId", "tag", F.col("umiCount").cast("bigint").alias("umiCount"),
-        F.row_number().over(Window.orderBy("at")).cast("bigint").alias("line"),
-    )
+    keys = ["sampleId", "cellId", "tag"]
+    sinks.write_sorted(roles.counts(spark, sf).select(*keys, "umiCount"), path, keys)
+    back = spark.read.option("header", True).csv(path).select("*", "_metadata.file_name", F.monotonically_increasing_id().alias("at"))
+    whole = F.struct(*keys)
+    ends = back.groupBy("file_name").agg(F.min(whole).alias("first"), F.max(whole).alias("last"))
+    before = F.max("last").over(Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ends.select("file_name", F.coalesce(F.col("first") > before, F.lit(True)).alias("follows"))
+    previous = F.lag(whole).over(Window.partitionBy("file_name").orderBy("at"))
+    return back.withColumn("up", F.coalesce(whole > previous, F.lit(True))).join(starts, "file_name").select(
+        *keys, F.col("umiCount").cast("bigint").alias("umiCount"), (F.col("up") & F.col("follows")).alias("inOrder")
+    )
 
 
 @query("""SELECT "sampleId", '{"matched":' || matched || ',"total":' || total || '}' AS json FROM parse""")

@@ -45,13 +45,13 @@ def panel_barcodes(spark, sf):
 
 @query('SELECT "sampleId", "CELL", "UMI", "FEATURE", reads, weight FROM placed')
 def corrected_to_panel(spark, sf):
-    mols = R.molecules(roles.tagged_reads(spark, sf))
+    mols = stage(R.molecules(roles.tagged_reads(spark, sf)), "molecules")
     return R.correct_to_panel(mols, stage(roles.coded_panel(spark, sf).select("sampleId", "tag"), "panel"))
 
 
 @query(corrected_sql(2))
 def corrected_to_panel_within_two(spark, sf):
-    mols = R.molecules(roles.tagged_reads(spark, sf))
+    mols = stage(R.molecules(roles.tagged_reads(spark, sf)), "molecules")
     return R.correct_to_panel(mols, stage(roles.coded_panel(spark, sf).select("sampleId", "tag"), "panel"), max_subs=2)
 
 
@@ -71,7 +71,7 @@ def _near_sql(column: str) -> str:
     FROM mols m LEFT JOIN wl w ON w.code = m."CELL" LEFT JOIN moves v ON v."CELL" = m."CELL"
     WHERE coalesce(w.code, v.moved) IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def corrected_to_whitelist(spark, sf):
-    mols = R.molecules(roles.tagged_reads(spark, sf))
+    mols = stage(R.molecules(roles.tagged_reads(spark, sf)), "molecules")
     return R.correct_to_whitelist(mols, roles.whitelist(spark, sf))
 
 
@@ -91,12 +91,12 @@ def _de_novo_sql(column: str, within: str) -> str:
 
 @query(_de_novo_sql('"CELL"', '"sampleId"'))
 def corrected_cells_de_novo(spark, sf):
-    return R.correct_de_novo(R.molecules(roles.tagged_reads(spark, sf)), "CELL", 2.0)
+    return R.correct_de_novo(stage(R.molecules(roles.tagged_reads(spark, sf)), "molecules"), "CELL", 2.0)
 
 
 @query(_de_novo_sql('"UMI"', '"sampleId", "CELL", "FEATURE"'))
 def corrected_molecules_de_novo(spark, sf):
-    return R.correct_de_novo(R.molecules(roles.tagged_reads(spark, sf)), "UMI", 2.0)
+    return R.correct_de_novo(stage(R.molecules(roles.tagged_reads(spark, sf)), "molecules"), "UMI", 2.0)
 
 
 @query("""SELECT 'events' AS "sampleId", CAST(user_id AS VARCHAR) AS "CELL", event_type AS "FEATURE", count(*) AS count,

@@ -33,8 +33,11 @@ def lookup(
 ) -> DataFrame:
     """Join `big` to a lookup table: broadcast where the table is known to be small, salted otherwise."""
     if fits(side) if small is None else small:
-        return big.join(F.broadcast(side), on, how)
-    return salted_join(big, side, on, how)
+        joined = big.join(F.broadcast(side), on, how)
+    else:
+        joined = salted_join(big, side, on, how)
+    gained = [] if how in ("left_semi", "left_anti") else [c for c in side.columns if c not in on]
+    return joined.select(*[F.col(f"`{c}`") for c in [*big.columns, *gained]])
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, k: int, salts: int = SALTS) -> DataFrame:

@@ -91,7 +91,8 @@ def reaches(n: Column, r: Column, cutoff: float) -> Column:
     needed = needed_counts(float(cutoff))
     if cutoff >= 100.0:
         return F.lit(False)
-    table = F.expr(f"array({', '.join(f'{v}L' for v in needed)})")
+    # one string literal, folded to an array by the optimizer, keeps the plan small while it is analysed
+    table = F.split(F.lit(",".join(map(str, needed))), ",").cast("array<bigint>")
     return F.when(r < len(needed), n >= F.element_at(table, (r + 1).cast("int"))).otherwise(
         specificity_score(n, r) >= float(cutoff)
     )

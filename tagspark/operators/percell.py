@@ -62,7 +62,7 @@ def cell_feature_counts(
     features = mapping.groupBy(*scope, "feature").agg(
         F.coalesce(mode, F.lit("sum")).alias("mode"), F.count_distinct("tag").alias("members")
     )
-    tags = mapping.select(*scope, "tag", "feature").join(F.broadcast(features), [*scope, "feature"])
+    tags = mapping.select(*scope, "tag", "feature").join(features, [*scope, "feature"])
     renamed = tags.withColumnRenamed("feature", "antigen")
     reads = stat.select("sampleId", F.col("CELL").alias("cellId"), F.col("FEATURE").alias("tag"), "unique_UMI")
     return (

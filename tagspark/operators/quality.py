@@ -270,8 +270,8 @@ def undeclared_barcodes(heaviest: DataFrame, tally: DataFrame, read_qc: DataFram
     dropped = read_qc.select("sampleId", F.col("featureDroppedShare").alias("readShare"))
     share = F.when(F.col("_all") > 0, F.col("totalWeight") / F.col("_all"))
     shaped = (
-        heaviest.join(F.broadcast(totals), "sampleId", "left")
-        .join(F.broadcast(dropped), "sampleId", "left")
+        heaviest.join(totals, "sampleId", "left")
+        .join(dropped, "sampleId", "left")
         .withColumn("value", share)
         .withColumn("measurement", F.lit("undeclaredBarcodeShare"))
     )
@@ -661,13 +661,23 @@ def reference_spread(reference: DataFrame, width: float = t.LOG1P_WIDTH) -> Data
     )
 
 
+VALUES_PER_TASK_ROW = 100_000
+
+
 def values_from_bins(binned: DataFrame) -> DataFrame:
-    """One value per observation, spread evenly inside its bin; from (low, high, weight) rows."""
+    """One value per observation, spread evenly inside its bin; from (low, high, weight) rows.
+
+    A heavy bin is cut into runs of bounded length that are spread over the tasks before they are unfolded.
+    """
     step = (F.col("high") - F.col("low")) / F.col("weight")
     keys = [c for c in binned.columns if c not in ("low", "high", "weight")]
+    size = F.lit(VALUES_PER_TASK_ROW).cast("bigint")
+    runs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("weight") - 1) / size))
+    last = F.least(F.col("weight"), (F.col("run") + 1) * size) - 1
+    cut = binned.filter("weight > 0").select(*keys, "low", "weight", step.alias("step"), F.explode(runs).alias("run"))
     return (
-        binned.filter("weight > 0")
-        .select(*keys, "low", step.alias("step"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("weight") - 1)).alias("j"))
+        cut.repartition(*[F.col(f"`{k}`") for k in keys], "low", "run")
+        .select(*keys, "low", "step", F.explode(F.sequence(F.col("run") * size, last)).alias("j"))
         .select(*keys, (F.col("low") + (F.col("j") + 0.5) * F.col("step")).alias("value"))
     )
 

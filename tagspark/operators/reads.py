@@ -187,17 +187,26 @@ def correct_to_whitelist(mols: DataFrame, whitelist: DataFrame | None) -> DataFr
 def de_novo_corrections(mols: DataFrame, column: str, within: list[str], ratio: float) -> DataFrame:
     """(within.., column, corrected): rare codes and the strongest neighbour holding `ratio` times their reads.
 
-    One hop: a code moves to the neighbour as it was counted before any move.
+    Codes one substitution apart are equal once the position is blanked. The codes that share a blanked form differ
+    in one letter, so such a group holds no more codes than there are letters, whatever the data. One hop: a code
+    moves to the neighbour as it was counted before any move.
     """
     sizes = mols.groupBy(*within, column).agg(F.sum("reads").alias("n"))
-    big = sizes.select(*within, F.col(column).alias("corrected"), F.col("n").alias("big"))
-    tried = sizes.select(*within, column, "n", F.explode(neighbours(F.col(column))).alias("corrected"))
+    member = F.struct((-F.col("n")).alias("r"), F.col(column).alias("code"))
+    groups = (
+        sizes.select(*within, member.alias("member"), F.explode(_masks(F.col(column), 1)).alias("mask"))
+        .groupBy(*within, "mask")
+        .agg(F.array_sort(F.collect_list("member")).alias("members"))
+        .filter(F.size("members") > 1)
+    )
+    strongest = F.col("members")[0]
+    # the strongest of a group serves all others; it has itself no stronger neighbour there
     return (
-        tried.join(big, [*within, "corrected"])
-        .filter(F.col("big") >= F.col("n") * ratio)
-        .groupBy(*within, column)
-        .agg(F.min(F.struct((-F.col("big")).alias("r"), "corrected")).alias("best"))
-        .select(*within, column, F.col("best.corrected").alias("corrected"))
+        groups.select(*within, strongest.alias("best"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("own"))
+        .filter(F.col("best.r") <= F.col("own.r") * ratio)
+        .groupBy(*within, F.col("own.code").alias(column))
+        .agg(F.min("best").alias("best"))
+        .select(*within, column, F.col("best.code").alias("corrected"))
     )
 
 
@@ -206,8 +215,8 @@ def correct_de_novo(mols: DataFrame, column: str = "CELL", ratio: float = 2.0) -
 
     CELL is corrected within its sample, UMI within its sample, cell and feature.
     """
-    if ratio < 1:
-        raise ValueError("ratio must be at least 1")
+    if ratio <= 1:
+        raise ValueError("ratio must be above 1, or two equal codes would each move onto the other")
     within = {"CELL": ["sampleId"], "UMI": ["sampleId", "CELL", "FEATURE"]}[column]
     moves = de_novo_corrections(mols, column, within, ratio)
     moved = joins.salted_join(mols, moves, [*within, column], "left")

@@ -105,8 +105,12 @@ def position_sums(
     silent_not_bound = F.col("asked") - F.col("observed") - silent_unreliable
     wrong = F.raise_error(F.concat(F.lit("negative silent term at "), F.col(group), F.lit("/"), F.col("identity"), F.lit(": cells or states are not unique")))
     checked = (silent_unreliable >= 0) & (silent_not_bound >= 0)
-    return sums.withColumn("silentUnreliable", F.when(checked, silent_unreliable).otherwise(wrong.cast("bigint"))).withColumn(
-        "silentNotBound", silent_not_bound
+    # on both terms, because a caller that reads only one of them would otherwise have the check pruned away
+    return sums.withColumns(
+        {
+            "silentUnreliable": F.when(checked, silent_unreliable).otherwise(wrong.cast("bigint")),
+            "silentNotBound": F.when(checked, silent_not_bound).otherwise(wrong.cast("bigint")),
+        }
     )
 
 

@@ -122,24 +122,39 @@ def substituted(text: Column, at: Column) -> Column:
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
-    """Paired reads (sampleId, read_id, r1, r2, weight), one per line item."""
+    """Paired reads (sampleId, read_id, r1, r2, weight), one per line item.
+
+    Spelling the sequences is dear, so the lines are first spread over the tasks however the files are cut.
+    """
     o, n, s, p = (F.col(c).cast("bigint") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"))
-    kind = (o * 7 + n * 3 + s) % 20
-    cell, tag = cell_code(o), tag_code(F.col("p_brand"))
-    cell = F.when(kind == 3, substituted(cell, (n % 24 + 1).cast("int"))).otherwise(cell)
-    tag = (
-        F.when(kind == 0, substituted(tag, (s % 15 + 1).cast("int")))
-        .when(kind == 1, code(p * 7919 + 11, 15))
+    lines = order_lines(spark, sf).select("o_orderpriority", "p_brand", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    spelled = lines.repartition("l_orderkey").select(
+        F.col("o_orderpriority").alias("sampleId"),
+        F.concat_ws("-", *[F.lpad(c.cast("string"), 10, "0") for c in (o, n, p, s)]).alias("read_id"),
+        n.alias("weight"),
+        ((o * 7 + n * 3 + s) % 20).alias("kind"),
+        cell_code(o).alias("cell"),
+        tag_code(F.col("p_brand")).alias("code"),
+        F.when((o * 7 + n * 3 + s) % 20 == 1, code(p * 7919 + 11, 15)).alias("stray"),
+        code((s * 13 + n) % 1048576, 10).alias("umi"),
+        (n % 24 + 1).cast("int").alias("cell_at"),
+        (s % 15 + 1).cast("int").alias("code_at"),
+    )
+    kind, cell, tag = F.col("kind"), F.col("cell"), F.col("code")
+    read_cell = F.when(kind == 3, substituted(cell, F.col("cell_at"))).otherwise(cell)
+    read_tag = (
+        F.when(kind == 0, substituted(tag, F.col("code_at")))
+        .when(kind == 1, F.col("stray"))
         .when(kind == 4, substituted(substituted(tag, F.lit(1)), F.lit(8)))
         .otherwise(tag)
     )
-    r1 = F.concat(cell, code((s * 13 + n) % 1048576, 10))
-    return order_lines(spark, sf).select(
-        F.col("o_orderpriority").alias("sampleId"),
-        F.concat_ws("-", *[F.lpad(c.cast("string"), 10, "0") for c in (o, n, p, s)]).alias("read_id"),
+    r1 = F.concat(read_cell, F.col("umi"))
+    return spelled.select(
+        "sampleId",
+        "read_id",
         F.when(kind == 2, F.substring(r1, 1, 20)).otherwise(r1).alias("r1"),
-        F.concat(tag, F.lit("ACGTACGT")).alias("r2"),
-        n.alias("weight"),
+        F.concat(read_tag, F.lit("ACGTACGT")).alias("r2"),
+        "weight",
     )
 
 

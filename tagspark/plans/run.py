@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import joins
 from ..functions import terms as t
 from ..operators import cells as C
 from ..operators import mixture as M
@@ -190,7 +191,7 @@ class VerdictRun:
         s = self.settings
         if not self.fitted:
             return X.states_from_counts(self.counts, grouping, self.refs, s.source, s.floor, s.cutoff, s.gate, self.small)
-        own = self.floored.join(F.broadcast(self.refs), "tag", "left_anti")
+        own = joins.lookup(self.floored, self.refs, ["tag"], "left_anti", self.small)
         found = M.identity_probabilities(self.counts, self.fit_universe, self.curve, grouping, s.floor, self.refs, self.small)
         return X.read_states_probability(X.combine_tags(own, grouping, self.small), found, self.gated, s.bound_probability)
 

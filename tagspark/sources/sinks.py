@@ -26,13 +26,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_sorted(df: DataFrame, path: str, keys: list[str]) -> None:
-    """A report as one CSV file in key order, with a header even when it has no row.
+    """A table as CSV in key order, with a header even when it has no row.
 
-    For tables a reader opens; large tables go to `write_table`.
+    The order is by ranges: every file is sorted and the files follow each other by name, so no task sees the whole.
     """
-    ordered = df.coalesce(1).sortWithinPartitions(*keys)
     as_written = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    ordered.write.mode("overwrite").options(header=True, emptyValue="", nullValue="", **as_written).csv(path)
+    df.sort(*keys).write.mode("overwrite").options(header=True, emptyValue="", nullValue="", **as_written).csv(path)
 
 
 def write_table(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
@@ -49,4 +48,4 @@ def json_line(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def write_json_report(df: DataFrame, path: str) -> None:
     """A run record or report: one JSON object per row, fields in name order."""
-    df.select(*sorted(df.columns)).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", False).json(path)
