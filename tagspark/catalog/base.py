@@ -119,9 +119,8 @@ class Bed:
 
     @cached_property
     def members(self) -> DataFrame:
-        # cells without a reading are not gated, so the reference is needed only where counts exist
-        reference = X.reference_declared(self.counts, self.refs, None, self.small)
-        return S.with_admissibility(S.cells_by_set(self.linker), reference, roles.GATE)
+        gated = X.cells_over_limit(self.counts, self.refs, roles.GATE, self.small)
+        return S.with_admissibility(S.cells_by_set(self.linker), gated)
 
     @cached_property
     def verdicts(self) -> DataFrame:

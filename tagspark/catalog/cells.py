@@ -126,6 +126,13 @@ def cells_gated(spark, sf):
     return X.gate_cells(Bed(spark, sf).reference, roles.GATE)
 
 
+@query('SELECT "sampleId", "cellId" FROM ref WHERE "referenceCount" > 40')
+def cells_over_limit(spark, sf):
+    """The same cells without building the reference of every cell."""
+    bed = Bed(spark, sf)
+    return X.cells_over_limit(bed.counts, bed.refs, roles.GATE, bed.small)
+
+
 @query('SELECT count(*) FILTER (WHERE "referenceCount" > 40) AS "cellsHighReference" FROM ref')
 def cells_high(spark, sf):
     return X.cells_high(Bed(spark, sf).reference, roles.GATE)

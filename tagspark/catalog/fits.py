@@ -175,9 +175,9 @@ def verdicts_on_fitted_background(spark, sf):
     curve = stage(M.score_curve(fits, hist, 12, bed.refs, bed.small), "curve")
     floored = joins.lookup(X.apply_floor(bed.counts, 12, bed.refs, bed.small), bed.refs, ["tag"], "left_anti", bed.small)
     found = M.identity_probabilities(bed.counts, bed.cell_list, curve, bed.grouping, 12, bed.refs, bed.small)
-    reference = X.reference_declared(bed.counts, bed.refs, None, bed.small)
-    states = X.read_states_probability(X.combine_tags(floored, bed.grouping, bed.small), found, X.gate_cells(reference, roles.GATE))
-    members = S.with_admissibility(S.cells_by_set(bed.linker), reference, roles.GATE, bed.cell_list)
+    gated = X.cells_over_limit(bed.counts, bed.refs, roles.GATE, bed.small)
+    states = X.read_states_probability(X.combine_tags(floored, bed.grouping, bed.small), found, gated)
+    members = S.with_admissibility(S.cells_by_set(bed.linker), gated, bed.cell_list)
     served = M.comparable_identities(fits, bed.grouping).withColumn("comparable", F.lit(True))
     asked = bed.offered.join(served, ["sampleId", "identity"], "left").withColumn("comparable", F.coalesce("comparable", F.lit(False)))
     out = S.combine_cells(states, members, asked, bed.universe, small=bed.small)

@@ -12,10 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import joins
-from ..functions.text import filled
 
 # fixed values: the layout of a read pair and the names of its parts
 LAYOUT = r"\^\(CELL:N\{(\d+)\}\)\(UMI:N\{(\d+)\}\)(\*?)\\\^(?:N\{(\d+)\})?\(FEATURE:N\{(\d+)\}\)\(R2:\*\)"
@@ -276,7 +274,3 @@ def read_recovery(read_qc: DataFrame) -> DataFrame:
         .filter("p.reads > 0")
         .select("sampleId", "p.segment", F.col("p.reads").cast("bigint").alias("reads"), (F.col("p.reads") / F.col("_total")).alias("share"))
     )
-
-
-def rank_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

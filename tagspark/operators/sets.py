@@ -27,13 +27,11 @@ def cells_by_set(linker: DataFrame) -> DataFrame:
     )
 
 
-def with_admissibility(
-    members: DataFrame, reference: DataFrame, threshold: int | None, fit_universe: DataFrame | None = None
-) -> DataFrame:
-    """Members with `gated` and `outside`: the gate's verdict on the cell, and whether it lies outside the cells a
-    fit was taken over. A member without a reference row reads 0 on the comparator."""
-    gated = F.coalesce(F.col("referenceCount") > threshold, F.lit(False)) if threshold is not None else F.lit(False)
-    out = members.join(reference.select(*t.CELL, "referenceCount"), t.CELL, "left").withColumn("gated", gated).drop("referenceCount")
+def with_admissibility(members: DataFrame, gated: DataFrame, fit_universe: DataFrame | None = None) -> DataFrame:
+    """Members with `gated` and `outside`: whether the cell was set aside, and whether it lies outside the cells a fit
+    was taken over."""
+    set_aside = gated.select(*t.CELL).distinct().withColumn("gated", F.lit(True))
+    out = members.join(set_aside, t.CELL, "left").withColumn("gated", F.coalesce("gated", F.lit(False)))
     if fit_universe is None:
         return out.withColumn("outside", F.lit(False))
     inside = fit_universe.select(*t.CELL).distinct().withColumn("_in", F.lit(True))
@@ -297,12 +295,6 @@ def set_tag_median(counts: DataFrame, members: DataFrame, offered_tags: DataFram
     return with_zero.groupBy("setId", "tag").agg(F.percentile("v", 0.5, F.col("w")).alias("medianUmiCount"))
 
 
-def pivot_limit(spark, width: int) -> None:
-    """Let a pivot be as wide as the gate on its columns allows."""
-    if width > int(spark.conf.get("spark.sql.pivotMaxValues", "10000")):
-        spark.conf.set("spark.sql.pivotMaxValues", str(width))
-
-
 def set_tag_median_table(medians: DataFrame, tags: list[str]) -> DataFrame:
     """Wide form, a column per panel tag; only the key past the width limit."""
     if not tags or len(tags) > t.TAG_MEDIAN_LIMIT:

@@ -138,6 +138,18 @@ def gate_cells(reference: DataFrame, threshold: int | None) -> DataFrame:
     return reference.filter(F.col("referenceCount") > threshold).select(*t.CELL)
 
 
+def cells_over_limit(counts: DataFrame, refs: DataFrame, threshold: int | None, small: bool | None = None) -> DataFrame:
+    """`gate_cells` under a declared reference, straight from the counts.
+
+    A cell's highest reference reading is above the limit where any of them is, so the limit is a filter on the scan
+    and only the cells set aside are shuffled.
+    """
+    if threshold is None:
+        return counts.select(*t.CELL).filter(F.lit(False))
+    high = counts.select(*t.CELL, "tag", "umiCount").filter(F.col("umiCount") > threshold)
+    return joins.lookup(high, refs.select("tag").distinct(), ["tag"], "left_semi", small).select(*t.CELL).distinct()
+
+
 def cells_high(reference: DataFrame, threshold: int | None) -> DataFrame:
     """(cellsHighReference): null without a threshold or without any reading."""
     n = F.count_if(F.col("referenceCount") > threshold) if threshold is not None else F.lit(None)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as t
 from ..operators import reads as R
 from ..sources.panel import Panel, build_panel
+from ..sources.sinks import stage
 
 GEOMETRY = R.Geometry(cell=24, umi=10, feature=15)
 GATE = 40
@@ -124,7 +125,8 @@ def substituted(text: Column, at: Column) -> Column:
 def reads(spark: SparkSession, sf: str) -> DataFrame:
     """Paired reads (sampleId, read_id, r1, r2, weight), one per line item.
 
-    Spelling the sequences is dear, so the lines are first spread over the tasks however the files are cut.
+    Written once, as an input table would be: spelling the sequences is dear, and a filter on them would otherwise be
+    pushed below the step that spreads the lines over the tasks and spell them there a second time.
     """
     o, n, s, p = (F.col(c).cast("bigint") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"))
     lines = order_lines(spark, sf).select("o_orderpriority", "p_brand", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
@@ -149,13 +151,14 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(tag)
     )
     r1 = F.concat(read_cell, F.col("umi"))
-    return spelled.select(
+    spelled = spelled.select(
         "sampleId",
         "read_id",
         F.when(kind == 2, F.substring(r1, 1, 20)).otherwise(r1).alias("r1"),
         F.concat(read_tag, F.lit("ACGTACGT")).alias("r2"),
         "weight",
     )
+    return stage(spelled, "reads")
 
 
 def coded_panel(spark: SparkSession, sf: str) -> DataFrame:

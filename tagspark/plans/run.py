@@ -209,9 +209,7 @@ class VerdictRun:
         """Set members with their admissibility."""
         empty = self.analysed.select(*t.CELL, F.lit("").alias("setId")).filter(F.lit(False))
         plain = S.cells_by_set(self.linker) if self.linker is not None else empty
-        reference = self.reference if self.reference is not None else self.analysed.select(*t.CELL, F.lit(None).cast("bigint").alias("referenceCount"))
-        universe = self.fit_universe if self.fitted else None
-        return stage(S.with_admissibility(plain, reference, self.settings.gate if self.reference is not None else None, universe), "members")
+        return stage(S.with_admissibility(plain, self.gated, self.fit_universe if self.fitted else None), "members")
 
     def _asked(self, offered: DataFrame, grouping: DataFrame) -> DataFrame:
         if not self.fitted:
