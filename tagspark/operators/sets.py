@@ -120,17 +120,29 @@ def silent_tally(
     return sums.select(group, "identity", "asked", "observed", "silentUnreliable", "silentNotBound")
 
 
-def spine(members: DataFrame, universe: list[str]) -> DataFrame:
-    """(setId, identity) over the whole universe: the rows the result must have."""
+SPINE_SLOTS = 64
+
+
+def spine(members: DataFrame, universe: list[str] | DataFrame) -> DataFrame:
+    """(setId, identity) over the whole universe: the rows the result must have.
+
+    A universe given by name is unfolded from a constant. One too large for that is a frame (identity): the sets are
+    repeated over slots and meet the identities of each slot by equality.
+    """
+    sets = members.select("setId").distinct()
+    if isinstance(universe, DataFrame):
+        slot = F.pmod(F.xxhash64("identity"), F.lit(SPINE_SLOTS)).cast("int")
+        slots = sets.select("setId", F.explode(F.sequence(F.lit(0), F.lit(SPINE_SLOTS - 1))).alias("slot"))
+        return slots.join(universe.select("identity", slot.alias("slot")), "slot").select("setId", "identity")
     identities = F.array(*[F.lit(i) for i in universe]) if universe else F.array().cast("array<string>")
-    return members.select("setId").distinct().select("setId", F.explode(identities).alias("identity"))
+    return sets.select("setId", F.explode(identities).alias("identity"))
 
 
 def combine_cells(
     states: DataFrame,
     members: DataFrame,
     offered: DataFrame,
-    universe: list[str],
+    universe: list[str] | DataFrame,
     min_voters: int = t.MIN_VOTERS,
     min_agreement: float | None = None,
     small: bool | None = None,

@@ -113,7 +113,10 @@ class VerdictRun:
         by_property = s.grouping is not None and s.grouping.get("by") == "property"
         self.grouping_columns = P.grouping_columns(s.grouping, P.property_columns(self.panel)) if by_property else []
         self.tag_grouping = P.default_grouping(self.panel, self.refs)
-        self.universe = sorted(r[0] for r in P.identity_universe(self.grouping).collect())
+        self.identities = P.identity_universe(self.grouping)
+        # named only where they may become columns; a larger universe stays a frame and has no wide tables
+        self.wide = joins.fits(self.identities, t.IDENTITY_PIVOT_LIMIT)
+        self.universe = sorted(r[0] for r in self.identities.collect()) if self.wide else []
 
     # --- cells -----------------------------------------------------------------
     @cached_property
@@ -220,8 +223,9 @@ class VerdictRun:
     @cached_property
     def verdicts(self) -> DataFrame:
         s = self.settings
+        universe = self.universe if self.wide else self.identities
         plain = S.combine_cells(
-            self.states, self.members, self._asked(self.offered, self.grouping), self.universe, s.min_voters, s.min_agreement, self.small
+            self.states, self.members, self._asked(self.offered, self.grouping), universe, s.min_voters, s.min_agreement, self.small
         )
         return stage(S.competitor_notes(plain, list(s.contending)), "verdicts")
 
@@ -294,6 +298,7 @@ class VerdictRun:
             "cellsEmptied": floors.agg(F.coalesce(F.sum("cellsEmptied"), F.lit(0))),
             "cellsSetAside": self.gated.agg(F.count(F.lit(1))),
             "setCount": self.members.agg(F.count_distinct("setId")),
+            "identityCount": self.identities.agg(F.count(F.lit(1))),
             "samplePanelCount": self.sample_panels.agg(F.count_distinct("panelId")),
             "samples": self.roster.agg(F.array_join(F.array_sort(F.collect_list("sampleId")), ", ")),
             "referenceTags": self.refs.agg(F.array_join(F.array_sort(F.collect_set("tag")), ", ")),
@@ -309,12 +314,12 @@ class VerdictRun:
             "floor": s.floor, "cutoff": s.cutoff, "boundProbability": s.bound_probability, "minVoters": s.min_voters,
             "minAgreement": s.min_agreement, "gateThreshold": s.gate, "panelMinMembers": s.panel_min_members,
             "distributionMinCells": s.min_cells, "initialSignalWeight": s.initial_signal_weight, "roleColumn": s.role_column,
-            "groupingId": self.rule_id, "identityCount": len(self.universe), "identities": ", ".join(self.universe),
+            "groupingId": self.rule_id, "identities": ", ".join(self.universe),
             "contending": "; ".join(", ".join(sorted(g)) for g in s.contending),
             "panelLinesDropped": ", ".join(map(str, self.dropped_lines)),
             "identitySummaryLimit": t.IDENTITY_PIVOT_LIMIT, "cellPunchLimit": t.CELL_PUNCH_LIMIT,
             "undeclaredBarcodeLimit": t.UNDECLARED_KEPT,
-            "identitySummaryEmitted": len(self.universe) <= t.IDENTITY_PIVOT_LIMIT,
+            "identitySummaryEmitted": self.wide,
         }
         one = self.spark.range(1)
         return one.select(*[F.lit(v).alias(k) for k, v in fixed.items()], *[df.scalar().alias(k) for k, df in facts.items()])
@@ -326,8 +331,13 @@ class VerdictRun:
         def answers(df: DataFrame) -> DataFrame:
             return M.answers(df, self.established)
 
-        tags = sorted(r[0] for r in self.panel.select("tag").distinct().collect())
-        asked_tags = sorted(r[0] for r in self.tag_grouping.select("tag").distinct().collect())
+        def names(df: DataFrame, limit: int) -> list[str]:
+            """Tags that may become columns; none past the limit, where the long tables serve."""
+            distinct = df.select("tag").distinct()
+            return sorted(r[0] for r in distinct.collect()) if joins.fits(distinct, limit) else []
+
+        tags = names(self.panel, t.IDENTITY_PIVOT_LIMIT)
+        asked_tags = names(self.tag_grouping, t.TAG_MEDIAN_LIMIT)
         reference = self.reference
         keyed = reference is not None and not self.fitted
         cells = reference if reference is not None else self.analysed.select(*t.CELL, F.lit(None).cast("bigint").alias("referenceCount"))
@@ -345,7 +355,7 @@ class VerdictRun:
             "identityPunch": answers(S.identity_punch(self.verdicts, self.universe)),
             "cellCounts": C.cell_counts(self.floored, self.refs, cells, self.cell_list),
             "cellRawCounts": raw,
-            "cellTagPivot": C.cell_tag_pivot(raw, tags),
+            "cellTagPivot": C.cell_tag_pivot(raw, tags) if tags else raw.select(*t.CELL).distinct(),
             "cellScalars": scalars,
             "cellBackground": C.cell_background(scalars, self.cell_list),
             "cellScore": C.cell_score(self.states, self.cell_list, s.source),

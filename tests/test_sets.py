@@ -159,3 +159,9 @@ def test_cell_punch(frame):
     got = {r.cellId: r for r in S.cell_punch(long, ["A", "B", "C"]).collect()}
     assert (got["a"].A, got["a"].B, got["a"].C, got["a"].boundIdentities) == ("bound|", "not bound|", None, 1)
     assert got["g"].A == f"unreliable|{t.GATED}"
+
+
+def test_a_universe_too_large_to_name_gives_the_same_rows(frame):
+    members = frame([("S", "a", "K", False, False), ("S", "b", "L", False, False)], MEMBERS)
+    names = [f"I{i}" for i in range(150)]
+    assert rows(S.spine(members, frame([(n,) for n in names], "identity string"))) == rows(S.spine(members, names))
