@@ -168,7 +168,7 @@ def clean(
     at = docs.columns.index(text_column)
 
     def run(batches):
-        for batch in slices(batches, text_column):
+        for batch in slices(batches, f"_{at}"):
             texts = [None if t is None else t.encode() for t in batch.column(at).to_pylist()]
             found = find_all(casts, [t or b"" for t in texts], window)
             if remove == "documents":
@@ -178,7 +178,8 @@ def clean(
                 kind = batch.schema.field(at).type
                 yield batch.set_column(at, batch.schema.field(at), pa.array([None if t is None else t.decode() for t in cut], kind))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])  # any name may stand in the columns
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def _cut(text: bytes, hit: np.ndarray) -> bytes:

@@ -130,6 +130,8 @@ def page(seed: int) -> str:
     main = article(r)
     if r.random() < 0.08:
         main = "".join(f"<p>{sentences(r, 1, 4)}</p>" for _ in range(r.randint(2, 5)))
+    if r.random() < 0.1:
+        main = "".join(f"<p>{words(r, 1, 4).capitalize()}.</p>" for _ in range(r.randint(1, 3)))
     kind = r.random()
     if kind < 0.4:
         main = f'<article data-y="1">{main}</article>'

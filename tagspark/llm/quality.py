@@ -80,7 +80,8 @@ def measured(docs: DataFrame, text: Column, out: str) -> DataFrame:
         repeats,
     ]
     named = F.struct(*[c.alias(n) for c, n in zip(counts, COUNTS)])
-    return rows.withColumn(out, named).drop(t, w, h, s, d, p, li)
+    # a generated column: conditions on it are not worked out a second time below it
+    return rows.select("*", F.explode(F.array(named)).alias(out)).drop(t, w, h, s, d, p, li)
 
 
 def base_failed(c: Column) -> Column:

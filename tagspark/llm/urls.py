@@ -54,23 +54,29 @@ def levels(rows: DataFrame) -> DataFrame:
 
 
 def shrunk(groups: DataFrame, key: str, above: DataFrame, up: str) -> DataFrame:
-    """(key, mean, strength): posterior of each group's bad share under the prior of the group above it.
+    """(key, mean, strength, n, bad): posterior of each group's bad share under the prior of the group above it.
 
-    `groups` has key, up, n, bad; `above` has up and mean. The prior's strength is that of all groups of this level:
-    the spread of their shares beyond that of draws, by moments.
+    `groups` has key, up, n, bad; `above` has up, mean, strength, n and bad, and gives each group the posterior of all
+    its other members. The prior is as strong as the spread of this level's shares beyond that of draws allows, by
+    moments, and no stronger than what it was learned from.
     """
-    met = lookup(groups, above.select(up, F.col("mean").alias("_prior")), [up], "inner")
+    side = above.select(up, *[F.col(c).alias(f"_{c}") for c in ("mean", "strength", "n", "bad")])
+    met = lookup(groups, side, [up], "inner")
+    left = F.greatest(F.col("_strength") - F.col("n"), F.lit(WEAKEST))
+    met = met.withColumn("_left", left).withColumn("_prior", F.greatest(F.col("_mean") * F.col("_strength") - F.col("bad"), F.lit(0.0)) / F.col("_left"))
+    met = met.withColumn("_prior", F.least(F.greatest("_prior", F.lit(1e-4)), F.lit(1 - 1e-4)))
     spread = met.agg(
         F.sum((F.col("bad") / F.col("n") - F.col("_prior")) ** 2 * F.col("n")).alias("seen"),
         F.sum(F.col("_prior") * (1 - F.col("_prior"))).alias("drawn"),
         F.sum((F.col("n") - 1) * F.col("_prior") * (1 - F.col("_prior"))).alias("more"),
     ).first()
     seen, drawn, more = (spread[k] or 0.0 for k in ("seen", "drawn", "more"))
-    # E seen = drawn + more * rho, where rho = 1 / (strength + 1)
+    # the mean of seen is drawn + more * rho, where rho = 1 / (strength + 1)
     rho = (seen - drawn) / more if more > 0 else 0.0
-    strength = min(max(1.0 / rho - 1.0 if rho > 0 else STRONGEST, WEAKEST), STRONGEST)
+    fitted = min(max(1.0 / rho - 1.0 if rho > 0 else STRONGEST, WEAKEST), STRONGEST)
+    strength = F.least(F.lit(fitted), F.col("_left"))
     mean = (F.col("_prior") * strength + F.col("bad")) / (strength + F.col("n"))
-    return met.select(key, mean.alias("mean"), (F.lit(strength) + F.col("n")).alias("strength"))
+    return met.select(key, mean.alias("mean"), (strength + F.col("n")).alias("strength"), "n", "bad")
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
@@ -83,7 +89,8 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
     hosts = stage(levels(labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    corpus = hosts.agg(F.lit("all").alias("all"), ((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean"))
+    n, bad = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))
+    corpus = hosts.agg(F.lit("all").alias("all"), ((bad + 1) / (n + 2)).alias("mean"), (n + 2.0).alias("strength"), n.alias("n"), bad.alias("bad"))
     of_suffix = stage(shrunk(suffixes.withColumn("all", F.lit("all")), "suffix", corpus, "all"), "suffixes")
     of_domain = stage(shrunk(domains, "domain", of_suffix, "suffix"), "domains")
     return {"host": stage(shrunk(hosts, "host", of_domain, "domain"), "reputations"), "domain": of_domain, "suffix": of_suffix}

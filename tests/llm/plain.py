@@ -63,11 +63,11 @@ def contamination(text: str | None, items: dict) -> tuple:
     for name, item in items.items():
         w = words(item)
         size = min(13, len(w))
-        for i in range(len(w) - size + 1 if size else 0):
-            for j in range(len(doc) - size + 1):
-                if doc[j : j + size] == w[i : i + size]:
-                    hit |= set(range(j, j + size))
-                    found.add(str(name))
+        windows = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if size else set()
+        for j in range(len(doc) - size + 1) if size else ():
+            if doc[j] in w and tuple(doc[j : j + size]) in windows:
+                hit |= set(range(j, j + size))
+                found.add(str(name))
     return len(doc), len(hit), len(found), sha(",".join(sorted(found))), bool(hit) and 20 * len(hit) >= len(doc)
 
 
