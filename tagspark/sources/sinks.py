@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. The cluster names it; a local session without one gets its own."""
+    """The folder all executors see. The cluster names it; only a local session without one gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="tagspark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tagspark-"))
+        named = _local[0]
     return named.rstrip("/")
 
 
