@@ -53,15 +53,17 @@ def levels(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"suffix": tail(size), "domain": tail(size + 1)})
 
 
-def shrunk(groups: DataFrame, key: str, above: DataFrame, up: str) -> DataFrame:
+def shrunk(groups: DataFrame, key: str, above: DataFrame | dict, up: str | None = None) -> DataFrame:
     """(key, mean, strength, n, bad): posterior of each group's bad share under the prior of the group above it.
 
-    `groups` has key, up, n, bad; `above` has up, mean, strength, n and bad, and gives each group the posterior of all
-    its other members. The prior is as strong as the spread of this level's shares beyond that of draws allows, by
+    `groups` has key, up, n, bad; `above` has up, mean and strength (or is the one that all groups have, by name), and
+    gives each group the posterior of all its other members. The prior is as strong as the spread of this level's shares beyond that of draws allows, by
     moments, and no stronger than what it was learned from.
     """
-    side = above.select(up, *[F.col(c).alias(f"_{c}") for c in ("mean", "strength", "n", "bad")])
-    met = lookup(groups, side, [up], "inner")
+    if isinstance(above, dict):
+        met = groups.withColumns({f"_{c}": F.lit(above[c]) for c in ("mean", "strength")})
+    else:
+        met = lookup(groups, above.select(up, *[F.col(c).alias(f"_{c}") for c in ("mean", "strength")]), [up], "inner")
     left = F.greatest(F.col("_strength") - F.col("n"), F.lit(WEAKEST))
     met = met.withColumn("_left", left).withColumn("_prior", F.greatest(F.col("_mean") * F.col("_strength") - F.col("bad"), F.lit(0.0)) / F.col("_left"))
     met = met.withColumn("_prior", F.least(F.greatest("_prior", F.lit(1e-4)), F.lit(1 - 1e-4)))
@@ -76,7 +78,7 @@ def shrunk(groups: DataFrame, key: str, above: DataFrame, up: str) -> DataFrame:
     fitted = min(max(1.0 / rho - 1.0 if rho > 0 else STRONGEST, WEAKEST), STRONGEST)
     strength = F.least(F.lit(fitted), F.col("_left"))
     mean = (F.col("_prior") * strength + F.col("bad")) / (strength + F.col("n"))
-    return met.select(key, mean.alias("mean"), (strength + F.col("n")).alias("strength"), "n", "bad")
+    return met.select(key, mean.alias("mean"), (strength + F.col("n")).alias("strength"))
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
@@ -89,9 +91,9 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
     hosts = stage(levels(labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    n, bad = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))
-    corpus = hosts.agg(F.lit("all").alias("all"), ((bad + 1) / (n + 2)).alias("mean"), (n + 2.0).alias("strength"), n.alias("n"), bad.alias("bad"))
-    of_suffix = stage(shrunk(suffixes.withColumn("all", F.lit("all")), "suffix", corpus, "all"), "suffixes")
+    whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    corpus = {"mean": (whole["bad"] + 1) / (whole["n"] + 2), "strength": float(whole["n"] + 2)}
+    of_suffix = stage(shrunk(suffixes, "suffix", corpus), "suffixes")
     of_domain = stage(shrunk(domains, "domain", of_suffix, "suffix"), "domains")
     return {"host": stage(shrunk(hosts, "host", of_domain, "domain"), "reputations"), "domain": of_domain, "suffix": of_suffix}
 
