@@ -18,6 +18,7 @@ from . import terms as t
 
 SEARCH_CEILING = 1 << 30
 TABLE_SIZE = 512
+UNREACHED = (1 << 63) - 1  # stands where no count reaches the cutoff
 # the best score a zero count can reach; at or below it silent cells cannot be counted by arithmetic
 ZERO_COUNT_SCORE = 100.0 * (1.0 - t.BETA_X) ** t.BETA_B
 
@@ -33,9 +34,15 @@ def count_to_reach(cutoff: float, reference: float) -> int | None:
         j = np.arange(length, dtype=float)
         steps = np.log((b + j[:-1]) / (j[:-1] + 1.0)) + np.log(t.BETA_X)
         log_mass = b * np.log1p(-t.BETA_X) + np.concatenate([[0.0], np.cumsum(steps)])
-        reached = np.cumsum(np.exp(log_mass)) >= target
+        mass = np.exp(log_mass)
+        reached = np.cumsum(mass) >= target
         if reached[-1]:
             return int(np.argmax(reached))
+        if log_mass[-1] < -60.0:
+            # the running sum stops short of 1 by rounding; what is left above each count does not
+            above = np.cumsum(mass[::-1])[::-1] - mass <= 1.0 - target
+            if above.any():
+                return int(np.argmax(above))
         if length > SEARCH_CEILING or log_mass[-1] < -745.0:
             return None
         length *= 2
@@ -92,7 +99,7 @@ def reaches(n: Column, r: Column, cutoff: float) -> Column:
     if cutoff >= 100.0:
         return F.lit(False)
     # one string literal, folded to an array by the optimizer, keeps the plan small while it is analysed
-    table = F.split(F.lit(",".join(map(str, needed))), ",").cast("array<bigint>")
+    table = F.split(F.lit(",".join(str(UNREACHED if c is None else c) for c in needed)), ",").cast("array<bigint>")
     return F.when(r < len(needed), n >= F.element_at(table, (r + 1).cast("int"))).otherwise(
         specificity_score(n, r) >= float(cutoff)
     )

@@ -375,8 +375,9 @@ def hamming(a, b):
 def min_pairwise_hamming(barcodes: DataFrame) -> DataFrame:
     """(minDistance): the smallest distance between two barcodes of the panel; null for fewer than two.
 
-    A panel of bounded size is compared through one array of its codes. A larger one is searched distance by
-    distance: codes within d substitutions agree once some d positions are masked, so equal masks find them.
+    Codes are compared over the shorter one's length, at every size of panel. A panel of bounded size is compared through
+    one array of its codes. A larger one is searched distance by distance: codes within d substitutions agree once
+    some d positions are masked, so equal masks find them.
     """
     codes = barcodes.select("tag").distinct()
     if joins.fits(codes, PAIRED_BARCODES):
@@ -385,15 +386,20 @@ def min_pairwise_hamming(barcodes: DataFrame) -> DataFrame:
             F.transform(F.filter(F.col("others"), lambda x: x > F.col("tag")), lambda x: hamming(F.col("tag"), x))
         )
         return codes.withColumn("others", others).agg(F.min(nearest).alias("minDistance"))
-    masks = codes.select("tag", F.col("tag").alias("mask"), F.lit(0).alias("last"))
-    longest = codes.agg(F.max(F.length("tag"))).first()[0]
-    for distance in range(1, longest + 1):
-        spots = F.sequence(F.col("last") + 1, F.length("tag"))
-        masks = (
-            masks.filter(F.col("last") < F.length("tag"))
-            .select("tag", "mask", F.explode(spots).alias("last"))
-            .withColumn("mask", F.overlay("mask", F.lit("*"), F.col("last"), F.lit(1)))
-        )
-        if not masks.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+    # over the shorter of two codes: longer ones are cut to each length that occurs, and one of a pair has that length
+    lengths = sorted(r[0] for r in codes.select(F.length("tag")).distinct().collect())
+    cuts = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("tag"))
+    masks = codes.select("tag", F.explode(cuts).alias("n")).select(
+        "n", (F.length("tag") == F.col("n")).alias("whole"), F.expr("substring(tag, 1, n)").alias("mask"), F.lit(0).alias("last")
+    )
+    for distance in range(0, lengths[-1] + 1):
+        if distance:
+            masks = (
+                masks.filter(F.col("last") < F.col("n"))
+                .select("n", "whole", "mask", F.explode(F.sequence(F.col("last") + 1, F.col("n"))).alias("last"))
+                .withColumn("mask", F.overlay("mask", F.lit("*"), F.col("last"), F.lit(1)))
+            )
+        met = masks.groupBy("n", "mask").agg(F.count(F.lit(1)).alias("codes"), F.max("whole").alias("whole"))
+        if not met.filter("codes > 1 and whole").isEmpty():
             break
     return codes.sparkSession.range(1).select(F.lit(distance).alias("minDistance"))

@@ -27,6 +27,8 @@ RESULT_KEYS = {
     "identitySummary": ["setId"],
     "identityPunch": ["setId"],
     "cellPunch": ["setId", "sampleId", "cellId"],
+    "cellPunchLong": ["setId", "sampleId", "cellId", "identity"],
+    "setTagMedianLong": ["setId", "tag"],
     "cellCounts": ["sampleId", "cellId", "tag"],
     "cellRawCounts": ["sampleId", "cellId", "tag"],
     "cellTagPivot": ["sampleId", "cellId"],
@@ -50,9 +52,15 @@ RESULT_KEYS = {
     "qcTagBins": ["sampleId", "tag", "bin"],
 }
 
+# result tables with a column per identity or tag; each has a long form that is saved as well
+WIDE_TABLES = ("setTagMedian", "identitySummary", "identityPunch", "cellPunch", "cellTagPivot")
+
 
 @dataclass(frozen=True)
 class Settings:
+    """`wide` names the tables that get a column per identity or tag: one that is too wide to build is an error, and
+    leaving its name out leaves its long form. `undeclared_kept` sequences of a sample are listed, all with None."""
+
     source: str
     floor: int = t.FLOOR
     cutoff: float = t.CUTOFF
@@ -70,6 +78,8 @@ class Settings:
     contending: tuple = ()
     sample_labels: dict = field(default_factory=dict)
     lines: dict = field(default_factory=dict)
+    wide: tuple = WIDE_TABLES
+    undeclared_kept: int | None = t.UNDECLARED_KEPT
 
 
 class VerdictRun:
@@ -95,7 +105,7 @@ class VerdictRun:
         )
         self.spark = counts.sparkSession
         self.counts, self.settings, self.read_qc, self.raw_counts = counts, s, read_qc, raw_counts
-        self.small = panel.small
+        self._small_panel, self._panel_rows = panel.small, panel.frame
         self.dropped_lines = panel.dropped_lines
         self.panel = P.translate_sample_labels(panel.frame, s.sample_labels)
         self.cell_list, self.cell_list_source = C.choose_cell_list(linker, cell_list)
@@ -114,10 +124,18 @@ class VerdictRun:
         self.grouping_columns = P.grouping_columns(s.grouping, P.property_columns(self.panel)) if by_property else []
         self.tag_grouping = P.default_grouping(self.panel, self.refs)
         self.identities = P.identity_universe(self.grouping)
-        # named only where they may become columns; a larger universe stays a frame and has no wide tables
+        # named only where they may become columns; a larger universe stays a frame
         self.wide = joins.fits(self.identities, t.IDENTITY_PIVOT_LIMIT)
         self.universe = sorted(r[0] for r in self.identities.collect()) if self.wide else []
 
+    @cached_property
+    def small(self) -> bool | None:
+        """True where even the panel's rows for every sample stay within what may be broadcast; else joins measure."""
+        if not self._small_panel:
+            return self._small_panel
+        rows = self._panel_rows.count() * max(1, self.seen.select("sampleId").distinct().count())
+        return True if rows <= joins.BROADCAST_ROWS else None
+
     # --- cells -----------------------------------------------------------------
     @cached_property
     def seen(self) -> DataFrame:
@@ -248,7 +266,7 @@ class VerdictRun:
 
     @cached_property
     def tally(self) -> DataFrame | None:
-        return None if self.marked_raw is None else stage(Q.undeclared_tally(self.marked_raw), "tally")
+        return None if self.marked_raw is None else stage(Q.undeclared_tally(self.marked_raw, self.settings.undeclared_kept), "tally")
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -314,11 +332,11 @@ class VerdictRun:
             "floor": s.floor, "cutoff": s.cutoff, "boundProbability": s.bound_probability, "minVoters": s.min_voters,
             "minAgreement": s.min_agreement, "gateThreshold": s.gate, "panelMinMembers": s.panel_min_members,
             "distributionMinCells": s.min_cells, "initialSignalWeight": s.initial_signal_weight, "roleColumn": s.role_column,
-            "groupingId": self.rule_id, "identities": ", ".join(self.universe),
+            "groupingId": self.rule_id, "identities": ", ".join(self.universe) if self.wide else None,
             "contending": "; ".join(", ".join(sorted(g)) for g in s.contending),
             "panelLinesDropped": ", ".join(map(str, self.dropped_lines)),
             "identitySummaryLimit": t.IDENTITY_PIVOT_LIMIT, "cellPunchLimit": t.CELL_PUNCH_LIMIT,
-            "undeclaredBarcodeLimit": t.UNDECLARED_KEPT,
+            "undeclaredBarcodeLimit": s.undeclared_kept,
             "identitySummaryEmitted": self.wide,
         }
         one = self.spark.range(1)
@@ -331,19 +349,26 @@ class VerdictRun:
         def answers(df: DataFrame) -> DataFrame:
             return M.answers(df, self.established)
 
-        def names(df: DataFrame, limit: int) -> list[str]:
-            """Tags that may become columns; none past the limit, where the long tables serve."""
+        def names(table: str, df: DataFrame, limit: int) -> list[str]:
+            """Tags that become columns of a wide table; too many of them for one are an error, never fewer rows."""
+            if table not in s.wide:
+                return []
             distinct = df.select("tag").distinct()
-            return sorted(r[0] for r in distinct.collect()) if joins.fits(distinct, limit) else []
-
-        tags = names(self.panel, t.IDENTITY_PIVOT_LIMIT)
-        asked_tags = names(self.tag_grouping, t.TAG_MEDIAN_LIMIT)
+            if not joins.fits(distinct, limit):
+                raise ValueError(f"{table} would have over {limit} columns: leave it out of the wide tables, its long form has every row")
+            return sorted(r[0] for r in distinct.collect())
+
+        tags = names("cellTagPivot", self.panel, t.IDENTITY_PIVOT_LIMIT)
+        asked_tags = names("setTagMedian", self.tag_grouping, t.TAG_MEDIAN_LIMIT)
+        by_identity = [w for w in ("identitySummary", "identityPunch", "cellPunch") if w in s.wide]
+        if by_identity and not self.wide:
+            raise ValueError(f"{', '.join(by_identity)} would have over {t.IDENTITY_PIVOT_LIMIT} columns: leave them out of the wide tables, the long forms have every row")
         reference = self.reference
         keyed = reference is not None and not self.fitted
         cells = reference if reference is not None else self.analysed.select(*t.CELL, F.lit(None).cast("bigint").alias("referenceCount"))
         scalars = answers(C.cell_scalars(X.cell_admissibility(cells, s.gate, keyed), self.cell_list))
         raw = C.cell_raw_counts(self.counts, self.cell_list)
-        medians = S.set_tag_median(self.counts, self.members, self.offered_tags, self.small)
+        medians = stage(S.set_tag_median(self.counts, self.members, self.offered_tags, self.small), "medians")
         grouped = P.property_grouping(self.panel, self.grouping_columns, self.refs) if self.grouping_columns else self.grouping
         exported = [c for c in P.property_columns(self.panel) if c != "identity"]
         held = P.identity_properties(grouped, self.panel, exported, self.grouping_columns)
@@ -351,6 +376,8 @@ class VerdictRun:
             "verdicts": answers(self.verdicts),
             "setCounts": answers(S.set_counts(self.verdicts).join(S.set_cell_counts(self.members, self.floored), "setId", "left")),
             "setTagMedian": S.set_tag_median_table(medians, asked_tags),
+            "setTagMedianLong": medians,
+            "cellPunchLong": answers(self.cell_punch_long),
             "identitySummary": answers(S.identity_summary(self.verdicts, self.universe)),
             "identityPunch": answers(S.identity_punch(self.verdicts, self.universe)),
             "cellCounts": C.cell_counts(self.floored, self.refs, cells, self.cell_list),
@@ -373,14 +400,15 @@ class VerdictRun:
             "qcTagBins": self.tag_bins,
             "runMeta": self.run_record(),
         }
-        if S.cell_punch_gate(self.members, self.universe):
+        out = {name: df for name, df in out.items() if name not in WIDE_TABLES or name in s.wide}
+        if "cellPunch" in s.wide and self.universe and not self.members.isEmpty():
             out["cellPunch"] = answers(S.cell_punch(self.cell_punch_long, self.universe))
         if self.fitted:
             out["qcBackgrounds"] = M.backgrounds(self.fits)
         if self.tally is not None:
             blank = self.spark.createDataFrame([], "sampleId string, featureDroppedShare double")
             read_qc = self.read_qc if self.read_qc is not None else blank
-            out["undeclaredBarcodes"] = Q.undeclared_barcodes(Q.heaviest_undeclared(self.marked_raw), self.tally, read_qc, self.lines)
+            out["undeclaredBarcodes"] = Q.undeclared_barcodes(Q.heaviest_undeclared(self.marked_raw, s.undeclared_kept), self.tally, read_qc, self.lines)
         return out
 
     def save(self, folder: str) -> list[str]:

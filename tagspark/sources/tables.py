@@ -20,13 +20,16 @@ UMI_HINT = ". A UMI count is a count of observations; a blank or a decimal is no
 SHOWN_BAD_VALUES = 5
 
 
-def read_strings(spark: SparkSession, path, what: str, needed: list[str], sep: str = ",") -> DataFrame:
-    """Delimited text or Parquet as strings. A missing column is fatal."""
+def read_strings(spark: SparkSession, path, what: str, needed: list[str], sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """Delimited text or Parquet as strings. A missing column is fatal.
+
+    Lines end at line ends, so that a large file is split; `multi_line` takes quoted line ends, one task a file.
+    """
     first = path[0] if isinstance(path, list) else path
     if str(first).rstrip("/").endswith(".parquet"):
         raw = spark.read.parquet(*path) if isinstance(path, list) else spark.read.parquet(path)
     else:
-        raw = spark.read.options(header=True, sep=sep, multiLine=True, escape='"', mode="PERMISSIVE").csv(path)
+        raw = spark.read.options(header=True, sep=sep, multiLine=multi_line, escape='"', mode="PERMISSIVE").csv(path)
     missing = [c for c in needed if c not in raw.columns]
     if missing:
         raise ValueError(f"{what} {path!r} has no column(s) {missing}; columns are {raw.columns}")
