@@ -24,8 +24,9 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 LEAST = 200
 #: A document is out when it is further from the median than so many times the group's own spread on that side.
 REACH = 6
-#: Added to each spread: what a measure may differ by chance in one text. Parts in a thousand, and thousandths of a letter.
-RESOLUTION = {"symbols": 5, "lines": 50, "repeats": 50, "length": 250}
+#: Added to each spread: what a measure may differ by chance in one text (one repeated line of three is no sign). Parts in
+#: a thousand, and thousandths of a letter.
+RESOLUTION = {"symbols": 5, "lines": 60, "repeats": 50, "length": 250}
 BLANK = r"[\x20\x09-\x0D]+"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 #: Up to so many different repeated windows are looked up in an array, more are found by sorting; the count is the same.
