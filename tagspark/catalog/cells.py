@@ -153,6 +153,21 @@ def specificity_scores(spark, sf):
     return pairs.select("n", "r", r6(specificity_score(F.col("n"), F.col("r"))).alias("score"))
 
 
+@query("""WITH p AS (SELECT s_suppkey AS id, r, CAST(floor(r * (12.3333 + (s_suppkey % 21 - 10) * 0.01)) AS BIGINT) AS n
+        FROM (SELECT s_suppkey, CAST(floor(abs(s_acctbal) * 100) AS BIGINT) + 512 AS r FROM supplier)),
+    w AS (SELECT *, n + r + 3 AS trials, 15 * sqrt((n + r + 3) * 0.075 * 0.925) AS reach FROM p),
+    j AS (SELECT *, unnest(range(CAST(greatest(0, floor(trials * 0.075 - reach)) AS BIGINT), CAST(least(trials, floor(trials * 0.075 + reach)) AS BIGINT))) AS k FROM w),
+    l AS (SELECT id, r, n, k, sum(ln((trials - k + 1) / k * 0.075 / 0.925)) OVER (PARTITION BY id ORDER BY k ROWS UNBOUNDED PRECEDING) AS mass FROM j WHERE k > 0),
+    m AS (SELECT *, exp(mass - max(mass) OVER (PARTITION BY id)) AS part FROM l)
+    SELECT id, n, r, round(100 * coalesce(sum(part) FILTER (WHERE k > r + 2), 0) / sum(part), 4) AS score FROM m GROUP BY 1, 2, 3""")
+def specificity_scores_far(spark, sf):
+    """The score at references of 512 to a million: each supplier's balance in cents, and a count near where the score turns."""
+    r = (F.floor(F.abs("s_acctbal") * 100) + 512).cast("bigint")
+    turn = F.floor(F.col("r") * (12.3333 + (F.col("id") % 21 - 10) * 0.01)).cast("bigint")
+    pairs = roles.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), r.alias("r")).withColumn("n", turn)
+    return pairs.select("id", "n", "r", F.round(specificity_score(F.col("n"), F.col("r")), 4).alias("score"))
+
+
 @query(f"""SELECT r, CAST(min(n) AS BIGINT) AS needed FROM (SELECT DISTINCT "referenceCount" AS r FROM ref), range(0, 4000) t(n)
     WHERE n BETWEEN CAST(12 * r AS BIGINT) AND CAST(25 * r + 100 AS BIGINT) AND {score_sql("n", "r")} >= 75 GROUP BY 1""")
 def count_needed(spark, sf):

@@ -60,3 +60,46 @@ def test_threshold_agrees_with_score(spark):
 def test_count_column_takes_medians(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (None,)], "r double").select(count_to_reach_column(F.col("r"), 75.0).alias("n"))
     assert [x.n for x in df.collect()] == [49, count_to_reach(75, 0.5), None]
+
+
+def upper_tail(n, r):
+    """The score at a large reference, each term from the one before, relative to the greatest."""
+    trials, p = n + r + 3, 0.075
+    mean, spread = trials * p, (trials * p * (1 - p)) ** 0.5
+    lo, hi = max(0, int(mean - 15 * spread)), min(trials, int(mean + 15 * spread))
+    logs = [0.0]
+    for j in range(lo, hi):
+        logs.append(logs[-1] + math.log((trials - j) * p / ((j + 1) * (1 - p))))
+    top = max(logs)
+    mass = [math.exp(x - top) for x in logs]
+    return 100 * math.fsum(m for j, m in zip(range(lo, hi + 1), mass) if j > r + 2) / math.fsum(mass)
+
+
+def test_scores_of_large_references(spark):
+    pairs = [(round(12.333 * r * f), r) for r in (511, 512, 513, 3000, 50_000, 1_000_000) for f in (0.9, 0.99, 0.999, 1, 1.001, 1.01, 1.1)]
+    got = scores(spark, pairs)
+    assert all(value == pytest.approx(upper_tail(*pair), abs=1e-7) for pair, value in got.items())
+    assert sum(1 < v < 99 for v in got.values()) > 10
+    ends = scores(spark, [(10**9, 10**6), (0, 10**6), (10**6, 600), (511, 512), (512, 512)])
+    assert ends == {(10**9, 10**6): 100, (0, 10**6): 0, (10**6, 600): 100, (511, 512): 0, (512, 512): pytest.approx(0)}
+
+
+def test_needed_count_of_large_references():
+    for r in (512, 50_000, 1_000_000):
+        n = count_to_reach(75, r)
+        assert upper_tail(n, r) >= 75 > upper_tail(n - 1, r)
+    assert count_to_reach(75, 10**9) is None  # past SEARCH_CEILING
+
+
+def test_cutoff_next_to_100_is_answered():
+    from fractions import Fraction
+
+    x, target = Fraction(925, 1000), Fraction(99.99999999999999 / 100)
+    for r in (0, 2, 7):
+        mass = reached = (1 - x) ** (r + 3)
+        n = 0
+        while reached < target:
+            n += 1
+            mass *= x * (r + 2 + n) / n
+            reached += mass
+        assert abs(count_to_reach(99.99999999999999, r) - n) <= 1
