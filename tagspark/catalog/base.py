@@ -60,15 +60,15 @@ class Bed:
 
     @cached_property
     def refs(self) -> DataFrame:
-        return roles.references(self.panel)
+        return stage(roles.references(self.panel), "references")
 
     @cached_property
     def grouping(self) -> DataFrame:
-        return P.make_grouping(self.panel, roles.GROUPING, self.refs)[0]
+        return stage(P.make_grouping(self.panel, roles.GROUPING, self.refs)[0], "grouping")
 
     @cached_property
     def tag_grouping(self) -> DataFrame:
-        return P.default_grouping(self.panel, self.refs)
+        return stage(P.default_grouping(self.panel, self.refs), "tags")
 
     @cached_property
     def universe(self) -> list[str]:
@@ -76,15 +76,15 @@ class Bed:
 
     @cached_property
     def seen(self) -> DataFrame:
-        return P.seen_pairs(self.counts)
+        return stage(P.seen_pairs(self.counts), "seen")
 
     @cached_property
     def offered(self) -> DataFrame:
-        return P.offered(self.grouping, self.seen)
+        return stage(P.offered(self.grouping, self.seen), "offered")
 
     @cached_property
     def offered_tags(self) -> DataFrame:
-        return P.offered(self.tag_grouping, self.seen).withColumnRenamed("identity", "tag")
+        return stage(P.offered(self.tag_grouping, self.seen).withColumnRenamed("identity", "tag"), "offered")
 
     @cached_property
     def linker(self) -> DataFrame:

@@ -154,10 +154,12 @@ def translate_sample_labels(panel: DataFrame, labels: dict[str, str]) -> DataFra
 
 def expand_samples(panel: DataFrame, samples: DataFrame) -> DataFrame:
     """(sampleId, tag) declared by the panel, a declaration over every sample repeated for the roster's samples."""
-    roster = samples.select(F.collect_set("sampleId")).scalar()
+    slot = F.pmod(F.xxhash64("sampleId"), F.lit(joins.SALTS)).cast("int")
+    roster = samples.select("sampleId").filter("sampleId is not null").distinct().withColumn("_slot", slot)
     keyed = panel.filter(F.col("sample") != t.ANY_SAMPLE).select(F.col("sample").alias("sampleId"), "tag")
-    every = panel.filter(F.col("sample") == t.ANY_SAMPLE).select(F.explode(roster).alias("sampleId"), "tag")
-    return keyed.unionByName(every).distinct()
+    every = panel.filter(F.col("sample") == t.ANY_SAMPLE).select("tag").distinct()
+    every = every.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(joins.SALTS - 1))))
+    return keyed.unionByName(roster.join(every, "_slot").select("sampleId", "tag")).distinct()
 
 
 def panels_of_samples(declared: DataFrame, samples: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import joins
 from ..functions import terms as t
+from ..sources.sinks import stage
 
 
 def cells_by_set(linker: DataFrame) -> DataFrame:
@@ -271,11 +272,11 @@ def self_disagreement(
 
 def scoped_sums(states: DataFrame, members: DataFrame, offered: DataFrame, scope: DataFrame, small: bool | None) -> DataFrame:
     """`position_sums` per (scope, set, tag). A tag has one scope in a sample, so the scope rides on the identity."""
-    marked = scope.select("sampleId", F.col("tag").alias("identity"), F.concat("scopeId", F.lit("\t"), "tag").alias("_key"))
+    marked = scope.select("sampleId", F.col("tag").alias("identity"), F.to_json(F.array("scopeId", "tag")).alias("_key"))
     own = joins.lookup(states, marked, ["sampleId", "identity"], "inner", small).drop("identity").withColumnRenamed("_key", "identity")
     asked = offered.join(marked, ["sampleId", "identity"]).select("sampleId", F.col("_key").alias("identity"))
     sums = position_sums(own, members, asked, "setId", None, small)
-    parts = F.split("identity", "\t", 2)
+    parts = F.from_json("identity", "array<string>")
     return sums.withColumn("scopeId", parts[0]).withColumn("identity", parts[1])
 
 
@@ -289,8 +290,11 @@ def set_tag_median(counts: DataFrame, members: DataFrame, offered_tags: DataFram
     pairs = offered_tags.select("sampleId", "tag")
     own = joins.lookup(counts.select(*t.CELL, "tag", "umiCount"), pairs, ["sampleId", "tag"], "left_semi", small)
     hist = own.join(cells, t.CELL).groupBy("setId", "tag", F.col("umiCount").alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    hist = stage(hist, "histogram")
     per_sample = cells.groupBy("setId", "sampleId").agg(F.count(F.lit(1)).alias("cells"))
-    population = joins.lookup(per_sample, pairs, ["sampleId"], "inner", small).select(
+    # only a tag that some cell of the set shows can have half of them: the others need no population
+    shown = hist.select("setId", "tag").distinct().join(per_sample, "setId")
+    population = joins.lookup(shown, pairs, ["sampleId", "tag"], "left_semi", small).select(
         "setId", "tag", F.lit(0).cast("bigint").alias("v"), F.lit(0).cast("bigint").alias("w"), F.col("cells").alias("n")
     )
     # the zero row's weight is the population less the rows, known only once both are in the group
@@ -308,15 +312,19 @@ def set_tag_median(counts: DataFrame, members: DataFrame, offered_tags: DataFram
 
 
 def set_tag_median_table(medians: DataFrame, tags: list[str]) -> DataFrame:
-    """Wide form, a column per panel tag; only the key past the width limit."""
-    if not tags or len(tags) > t.TAG_MEDIAN_LIMIT:
+    """Wide form, a column per panel tag; past the width limit an error, since the long form has every row."""
+    if len(tags) > t.TAG_MEDIAN_LIMIT:
+        raise ValueError(f"over {t.TAG_MEDIAN_LIMIT} columns: use the long form")
+    if not tags:
         return medians.select("setId").filter(F.lit(False))
     return medians.groupBy("setId").pivot("tag", sorted(tags)).agg(F.first("medianUmiCount"))
 
 
 def identity_summary(verdicts: DataFrame, universe: list[str]) -> DataFrame:
-    """One row per set, a state column per identity; only the sets past the width limit."""
-    if not universe or len(universe) > t.IDENTITY_PIVOT_LIMIT:
+    """One row per set, a state column per identity; past the width limit an error, since the long form has every row."""
+    if len(universe) > t.IDENTITY_PIVOT_LIMIT:
+        raise ValueError(f"over {t.IDENTITY_PIVOT_LIMIT} columns: use the long form")
+    if not universe:
         return verdicts.select("setId").distinct()
     return verdicts.groupBy("setId").pivot("identity", sorted(universe)).agg(F.first("state"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import joins
 from ..functions import terms as t
 from ..operators import cells as C
+from ..operators import checks as D
 from ..operators import mixture as M
 from ..operators import panels as P
 from ..operators import quality as Q
@@ -116,13 +117,18 @@ class VerdictRun:
             if s.role_column and s.role_column not in P.property_columns(self.panel):
                 raise ValueError(f"role column {s.role_column!r} is not a panel column")
             self.refs = self.panel.select("tag").filter(F.lit(False))
+        # panel metadata that every branch reads: written once
+        self.refs = stage(self.refs, "references")
         self.has_refs = not self.refs.isEmpty()
         size = self.panel.select(F.count_distinct("tag")).first()[0]
         X.served_source(s.source, self.has_refs, size, s.panel_min_members)
-        self.grouping, self.rule_id = P.make_grouping(self.panel, s.grouping, self.refs)
+        if linker is not None and D.share_no_sample(counts, linker) and not counts.isEmpty() and not linker.isEmpty():
+            raise ValueError("the linker names none of the samples that were counted: every set would be empty")
+        grouping, self.rule_id = P.make_grouping(self.panel, s.grouping, self.refs)
+        self.grouping = stage(grouping, "grouping")
         by_property = s.grouping is not None and s.grouping.get("by") == "property"
         self.grouping_columns = P.grouping_columns(s.grouping, P.property_columns(self.panel)) if by_property else []
-        self.tag_grouping = P.default_grouping(self.panel, self.refs)
+        self.tag_grouping = stage(P.default_grouping(self.panel, self.refs), "tags")
         self.identities = P.identity_universe(self.grouping)
         # named only where they may become columns; a larger universe stays a frame
         self.wide = joins.fits(self.identities, t.IDENTITY_PIVOT_LIMIT)
@@ -143,11 +149,11 @@ class VerdictRun:
 
     @cached_property
     def offered(self) -> DataFrame:
-        return P.offered(self.grouping, self.seen)
+        return stage(P.offered(self.grouping, self.seen), "offered")
 
     @cached_property
     def offered_tags(self) -> DataFrame:
-        return P.offered(self.tag_grouping, self.seen).withColumnRenamed("identity", "tag")
+        return stage(P.offered(self.tag_grouping, self.seen).withColumnRenamed("identity", "tag"), "offered")
 
     @cached_property
     def analysed(self) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 from conftest import rows
 
+from tagspark.functions import terms as t
 from tagspark.operators import checks as D
 from tagspark.operators import panels as P
 from tagspark.sources.panel import build_panel, check_roles, read_panel
@@ -144,3 +145,10 @@ def test_sample_column_prefers_the_exact_one(frame):
 def test_no_shared_sample(frame):
     a, b = frame([("S1",)], "sampleId string"), frame([("S2",)], "sampleId string")
     assert D.share_no_sample(a, b) and not D.share_no_sample(a, a)
+
+
+def test_a_declaration_for_all_reaches_every_sample_once(frame):
+    panel = frame([(t.ANY_SAMPLE, "X"), (t.ANY_SAMPLE, "Y"), ("s3", "X"), ("s9", "Z")], "sample string, tag string")
+    samples = frame([(f"s{i}",) for i in range(40)] + [("s1",), (None,)], "sampleId string")
+    got = P.expand_samples(panel, samples)
+    assert rows(got) == {(f"s{i}", x) for i in range(40) for x in "XY"} | {("s9", "Z")} and got.count() == 81

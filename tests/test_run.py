@@ -49,6 +49,12 @@ def test_all_four_states_in_one_run(bed):
     assert (got["K4", "AAA"].state, got["K4", "AAA"].cellsAnswered) == (t.NOT_BOUND, 2)
 
 
+def test_a_linker_of_other_samples_is_refused(bed, frame):
+    data, panel, _ = bed
+    with pytest.raises(ValueError, match="none of the samples"):
+        VerdictRun(data, panel, settings(), frame([("T9", "c1", "K1")], "sampleId string, cellId string, setId string"))
+
+
 def test_every_table_is_made_and_saved(bed, spark, tmp_path):
     data, panel, linker = bed
     run = VerdictRun(data, panel, settings(), linker)

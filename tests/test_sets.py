@@ -152,6 +152,25 @@ def test_self_disagreement_pools_cells(frame):
     assert got == {("X", 3, 1, 1 / 3), ("Y", 0, 0, None)}
 
 
+def test_a_scope_may_hold_any_character(frame):
+    members = frame([("S", c, "K", False, False) for c in "abc"], MEMBERS)
+    states = frame(state_rows([("S", "a", "X", t.BOUND)]), STATES)
+    scope = frame([("S", "X", 'a\t"b\\')], "sampleId string, tag string, scopeId string")
+    universe = frame([('a\t"b\\', "X")], "scopeId string, tag string")
+    got = rows(S.self_disagreement(states, members, frame([("S", "X")], "sampleId string, tag string"), universe, scope))
+    assert got == {('a\t"b\\', "X", 3, 1, 1 / 3)}
+
+
+def test_wide_forms_past_their_limit_are_errors(frame, monkeypatch):
+    monkeypatch.setattr(t, "TAG_MEDIAN_LIMIT", 1)
+    monkeypatch.setattr(t, "IDENTITY_PIVOT_LIMIT", 1)
+    medians = frame([("K", "X", 1.0), ("K", "Y", 2.0)], "setId string, tag string, medianUmiCount double")
+    with pytest.raises(ValueError, match="long form"):
+        S.set_tag_median_table(medians, ["X", "Y"])
+    with pytest.raises(ValueError, match="long form"):
+        S.identity_summary(frame([("K", "X", "bound")], "setId string, identity string, state string"), ["X", "Y"])
+
+
 def test_cell_punch(frame):
     members = frame([("S", "a", "K", False, False), ("S", "g", "K", True, False)], MEMBERS)
     states = frame(state_rows([("S", "a", "A", t.BOUND)]), STATES)
