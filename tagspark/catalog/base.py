@@ -17,14 +17,14 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Register a (spark, sf_dir) function and the SQL giving the same rows."""
+def query(sql: str | None = None, name: str | None = None, instead: dict[str, str] | None = None):
+    """Register a (spark, sf_dir) function and the SQL giving the same rows, with some parts replaced."""
 
     def register(fn):
         key = name or fn.__name__
         QUERIES[key] = fn
         if sql is not None:
-            ORACLES[key] = with_parts(sql)
+            ORACLES[key] = with_parts(sql, instead)
         return fn
 
     return register
@@ -249,14 +249,14 @@ PARTS["cpanel"] = f"""SELECT sample AS "sampleId", repeat({code_sql("CAST(substr
 PARTS["parse"] = """SELECT "sampleId", count(*) AS total, count(*) FILTER (WHERE matched) AS matched FROM tagged GROUP BY 1"""
 
 
-def corrected_sql(max_subs: int) -> str:
-    """Molecules snapped onto their sample's panel: the one nearest barcode within the distance."""
+def corrected_sql(max_subs: int, source: str = "mols") -> str:
+    """Molecules of `source` snapped onto their sample's panel: the one nearest barcode within the distance."""
     return f"""SELECT m."sampleId", "CELL", "UMI", x.tag AS "FEATURE", CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(weight) AS BIGINT) AS weight
-        FROM mols m JOIN (
+        FROM {source} m JOIN (
             SELECT "sampleId", "FEATURE", min(tag) AS tag FROM (
                 SELECT s."sampleId", s."FEATURE", p.tag, hamming(s."FEATURE", p.tag) AS d,
                     min(hamming(s."FEATURE", p.tag)) OVER (PARTITION BY s."sampleId", s."FEATURE") AS best
-                FROM (SELECT DISTINCT "sampleId", "FEATURE" FROM mols) s JOIN cpanel p ON p."sampleId" = s."sampleId")
+                FROM (SELECT DISTINCT "sampleId", "FEATURE" FROM {source}) s JOIN cpanel p ON p."sampleId" = s."sampleId")
             WHERE d = best AND d <= {max_subs} GROUP BY 1, 2 HAVING count(*) = 1) x
         ON x."sampleId" = m."sampleId" AND x."FEATURE" = m."FEATURE" GROUP BY 1, 2, 3, 4"""
 
@@ -313,20 +313,23 @@ PARTS["panels"] = """SELECT "sampleId", left(sha256(array_to_string(list(tag ORD
         FROM declared GROUP BY 1"""
 
 
-def with_parts(body: str) -> str:
-    """The body after the parts it uses, directly or through another part."""
+def with_parts(body: str, instead: dict[str, str] | None = None) -> str:
+    """The body after the parts it uses, directly or through another part; `instead` takes the place of parts by name."""
     import re
 
-    needed: set[str] = set()
+    parts = {**PARTS, **(instead or {})}
+    met: set[str] = set()
+    order: list[str] = []
 
     def visit(text: str) -> None:
-        for word in set(re.findall(r"\b[a-z_]+\b", text)):
-            if word in PARTS and word not in needed:
-                needed.add(word)
-                visit(PARTS[word])
-
-    visit(re.sub(r"'[^']*'", "''", body))
-    head = ",\n".join(f"{k} AS MATERIALIZED ({PARTS[k]})" for k in PARTS if k in needed)
+        for word in re.findall(r"\b[a-z_]+\b", re.sub(r"'[^']*'", "''", text)):
+            if word in parts and word not in met:
+                met.add(word)
+                visit(parts[word])
+                order.append(word)
+
+    visit(body)
+    head = ",\n".join(f"{k} AS MATERIALIZED ({parts[k]})" for k in order)
     body = body.strip()
     if not head:
         return body

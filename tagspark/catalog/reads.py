@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.joins import fits
 from ..operators import panels as P
 from ..operators import reads as R
 from ..plans import roles
+from ..plans.reads import ReadSettings, ReadsRun
+from ..plans.run import Settings
+from ..sources.panel import Panel
 from ..sources.sinks import stage
-from .base import corrected_sql, query, r6
+from .base import PARTS, code_sql, corrected_sql, query, r6
 from .inputs import bed_read_qc
 
 
@@ -63,30 +67,35 @@ def _near_sql(column: str) -> str:
     )
 
 
-@query(f"""AND wl AS (SELECT DISTINCT repeat(translate(to_base(o_orderkey, 4, 12), '0123', 'ACGT'), 2) AS code FROM orders),
+def _listed_sql(source: str) -> str:
+    """Cells of `source` snapped onto the list of cell codes."""
+    return f"""AND wl AS (SELECT DISTINCT repeat(translate(to_base(o_orderkey, 4, 12), '0123', 'ACGT'), 2) AS code FROM orders),
     moves AS (SELECT "CELL", min(near) AS moved FROM (
-        SELECT "CELL", {_near_sql('"CELL"')} AS near FROM (SELECT DISTINCT "CELL" FROM mols WHERE "CELL" NOT IN (SELECT code FROM wl)))
+        SELECT "CELL", {_near_sql('"CELL"')} AS near FROM (SELECT DISTINCT "CELL" FROM {source} WHERE "CELL" NOT IN (SELECT code FROM wl)))
         WHERE near IN (SELECT code FROM wl) GROUP BY 1 HAVING count(DISTINCT near) = 1)
     SELECT m."sampleId", coalesce(w.code, v.moved) AS "CELL", "UMI", "FEATURE", CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(weight) AS BIGINT) AS weight
-    FROM mols m LEFT JOIN wl w ON w.code = m."CELL" LEFT JOIN moves v ON v."CELL" = m."CELL"
-    WHERE coalesce(w.code, v.moved) IS NOT NULL GROUP BY 1, 2, 3, 4""")
+    FROM {source} m LEFT JOIN wl w ON w.code = m."CELL" LEFT JOIN moves v ON v."CELL" = m."CELL"
+    WHERE coalesce(w.code, v.moved) IS NOT NULL GROUP BY 1, 2, 3, 4"""
+
+
+@query(_listed_sql("mols"))
 def corrected_to_whitelist(spark, sf):
     mols = stage(R.molecules(roles.tagged_reads(spark, sf)), "molecules")
     return R.correct_to_whitelist(mols, roles.whitelist(spark, sf))
 
 
-def _de_novo_sql(column: str, within: str) -> str:
+def _de_novo_sql(column: str, within: str, source: str = "mols") -> str:
     keys = "".join(f', {k}' for k in within.split(", "))
     same = " AND ".join(f"s.{k} = b.{k}" for k in within.split(", "))
     join = " AND ".join(f"m.{k} = v.{k}" for k in [*within.split(", "), column])
     others = [c for c in ('"sampleId"', '"CELL"', '"UMI"', '"FEATURE"') if c != column]
-    return f"""AND sizes AS (SELECT {within}, {column}, CAST(sum(reads) AS BIGINT) AS n FROM mols GROUP BY ALL),
+    return f"""AND sizes AS (SELECT {within}, {column}, CAST(sum(reads) AS BIGINT) AS n FROM {source} GROUP BY ALL),
         tries AS (SELECT *, {_near_sql(column)} AS near FROM sizes),
         moves AS (SELECT {", ".join("s." + k for k in within.split(", "))}, s.{column}, arg_min(s.near, struct_pack(a := -b.n, c := s.near)) AS moved FROM tries s
             JOIN sizes b ON {same} AND b.{column} = s.near WHERE b.n >= s.n * 2.0 GROUP BY ALL)
         SELECT {", ".join("m." + c for c in others)}, coalesce(v.moved, m.{column}) AS {column},
             CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(weight) AS BIGINT) AS weight
-        FROM mols m LEFT JOIN moves v ON {join} GROUP BY ALL"""
+        FROM {source} m LEFT JOIN moves v ON {join} GROUP BY ALL"""
 
 
 @query(_de_novo_sql('"CELL"', '"sampleId"'))
@@ -111,11 +120,57 @@ def raw_feature_stat(spark, sf):
     return R.raw_feature_stat(R.molecules(roles.tagged_reads(spark, sf)))
 
 
-@query('SELECT "sampleId", "tagName", "inputCount", "outputCount" FROM refine')
+def _nested(sql: str) -> str:
+    return sql.replace("AND ", "WITH ", 1)
+
+
+# the three corrections in their order, and the tables of a run in the reads' own codes
+_CHAIN = {
+    "cellfix": _nested(_listed_sql("mols")),
+    "featurefix": corrected_sql(1, "cellfix"),
+    "umifix": _nested(_de_novo_sql('"UMI"', '"sampleId", "CELL", "FEATURE"', "featurefix")),
+}
+_CODED = {
+    **_CHAIN,
+    "counts": """SELECT "sampleId", "CELL" AS "cellId", "FEATURE" AS tag, count(*) AS "umiCount", CAST(sum(weight) AS BIGINT) AS "totalWeight" FROM umifix GROUP BY 1, 2, 3""",
+    "panel": f"""SELECT repeat({code_sql("CAST(substr(tag, 7) AS BIGINT) - 1", 3)}, 5) AS tag, sample, feature, role, family, lot FROM panel_rows""",
+    "cpanel": 'SELECT sample AS "sampleId", tag FROM panel',
+    **{k: PARTS[k].replace("CAST(o_orderkey AS VARCHAR)", f"repeat({code_sql('o_orderkey', 12)}, 2)") for k in ("cells", "linker", "listed")},
+}
+
+
+def reads_run(spark, sf) -> ReadsRun:
+    barcodes = stage(roles.coded_panel(spark, sf).select("sampleId", "tag"), "panel")
+    return ReadsRun(roles.reads(spark, sf), barcodes, ReadSettings(roles.GEOMETRY), roles.whitelist(spark, sf))
+
+
+def _step_sql(tag: str, before: str, after: str) -> str:
+    return f"""SELECT b."sampleId", '{tag}' AS "tagName", b.n AS "inputCount", coalesce(a.n, 0) AS "outputCount" FROM
+        (SELECT "sampleId", CAST(sum(reads) AS BIGINT) AS n FROM {before} GROUP BY 1) b
+        LEFT JOIN (SELECT "sampleId", CAST(sum(reads) AS BIGINT) AS n FROM {after} GROUP BY 1) a ON a."sampleId" = b."sampleId\""""
+
+
+@query(" UNION ALL ".join([_step_sql("CELL", "mols", "cellfix"), _step_sql("FEATURE", "cellfix", "featurefix"), _step_sql("UMI", "featurefix", "umifix")]), instead=_CHAIN)
 def refine_report(spark, sf):
-    mols = stage(R.molecules(roles.tagged_reads(spark, sf)), "molecules")
-    placed = R.correct_to_panel(mols, stage(roles.coded_panel(spark, sf).select("sampleId", "tag"), "panel"))
-    return R.refine_report([("CELL", mols, mols), ("FEATURE", mols, placed)])
+    """Reads into and out of the cell, feature and molecule steps of one chain."""
+    return reads_run(spark, sf).refine_report
+
+
+@query('SELECT "sampleId", "cellId", tag, "umiCount", "totalWeight" FROM counts', instead=_CODED)
+def reads_to_counts(spark, sf):
+    return reads_run(spark, sf).counts
+
+
+@query("""SELECT "setId", identity, state, "cellsAsked", "cellsAnswered", "cellsBound", "cellsNotBound", round(agreement, 6) AS agreement, "unreliableReason" FROM verdicts""", instead=_CODED)
+def reads_to_verdicts(spark, sf):
+    """Reads, their corrections, counts and verdicts in one plan; cells and tags are named by their sequences."""
+    coded = lambda df: df.withColumn("cellId", roles.cell_code(F.col("cellId")))
+    panel = stage(roles.panel(spark, sf).withColumn("tag", roles.tag_code(F.col("tag"))), "panel")
+    settings = Settings(source="declared", gate=roles.GATE, role_column="role", reference_values=("Control",), grouping=roles.GROUPING)
+    run = reads_run(spark, sf).verdicts(Panel(panel, [], fits(panel)), settings, coded(roles.linker(spark, sf)), coded(roles.cell_list(spark, sf)))
+    return run.verdicts.select(
+        "setId", "identity", "state", "cellsAsked", "cellsAnswered", "cellsBound", "cellsNotBound", r6("agreement").alias("agreement"), "unreliableReason"
+    )
 
 
 @query("""SELECT "sampleId", segment, CAST(reads AS BIGINT) AS reads, round(reads / "readsTotal", 6) AS share FROM (

@@ -89,3 +89,19 @@ def test_preview_takes_the_first_reads(reads):
     assert rows(R.preview_reads(reads, 2), "read_id") == {("1",), ("2",)}
     with pytest.raises(ValueError):
         R.preview_reads(reads, 0)
+
+
+def test_reads_to_counts_through_three_corrections(frame):
+    from tagspark.plans.reads import ReadSettings, ReadsRun
+
+    # cell AAAA, tag TTTT: molecule CC twice and its misread CG; a misread cell, a misread tag, a stray tag, a short read
+    data = [("S", "AAAACC", "TTTT")] * 4 + [("S", "AAAACG", "TTTT"), ("S", "AAATGG", "TTTT"), ("S", "AAAAGG", "TTTA"), ("S", "AAAAGG", "GGGG"), ("S", "AAA", "TTTT"), ("T", "A", "T")]
+    panel = frame([("S", "TTTT"), ("T", "TTTT")], "sampleId string, tag string")
+    reads = frame(data, "sampleId string, r1 string, r2 string")
+    run = ReadsRun(reads, panel, ReadSettings(GEOMETRY), frame([("AAAA",)], "CELL string"))
+    assert rows(run.parse_report) == {("S", 9, 8, True), ("T", 1, 0, False)}
+    assert rows(run.refine_report, "tagName", "inputCount", "outputCount") == {("CELL", 8, 8), ("FEATURE", 8, 7), ("UMI", 7, 7)}
+    assert rows(run.counts, "sampleId", "cellId", "tag", "umiCount", "totalWeight") == {("S", "AAAA", "TTTT", 2, 7)}
+    assert rows(run.raw_counts, "FEATURE", "count") == {("TTTT", 6), ("TTTA", 1), ("GGGG", 1)}
+    # without a list the rare cell code joins the frequent one as well
+    assert rows(ReadsRun(reads, panel, ReadSettings(GEOMETRY)).counts, "cellId", "umiCount") == {("AAAA", 2)}
