@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -12,6 +13,7 @@ from ..functions import joins
 from ..functions import terms as t
 from ..operators import cells as C
 from ..operators import checks as D
+from ..operators import keys as K
 from ..operators import mixture as M
 from ..operators import panels as P
 from ..operators import quality as Q
@@ -51,8 +53,19 @@ RESULT_KEYS = {
     "runMeta": [],
     "qcBySample": ["sampleId"],
     "qcTagBins": ["sampleId", "tag", "bin"],
+    "qcTagFits": ["sampleId", "tag"],
+    "qcUnfitted": ["sampleId", "tag"],
+    "qcSpreads": ["spread", "bin"],
+    "identityNameConflicts": ["identity"],
+    "identityPropertyValues": ["column", "value"],
+    "pivotColumns": ["table", "tag"],
 }
 
+# columns that hold several sample ids in one value; other tables have them in `sampleId`
+SAMPLE_LISTS = {"reagents": ["samplesSeenInNames", "samplesInPanelNames"], "runMeta": ["samples"]}
+
+NO_BASELINE = "no pair of sample and tag could be fitted with the {} cells that a fit needs, so no verdicts were read"
+
 # result tables with a column per identity or tag; each has a long form that is saved as well
 WIDE_TABLES = ("setTagMedian", "identitySummary", "identityPunch", "cellPunch", "cellTagPivot")
 
@@ -312,6 +325,32 @@ class VerdictRun:
             return Q.hist_bins(self.histogram)
         return Q.count_bins(C.listed(self.counts, self.cell_list))
 
+    @cached_property
+    def tag_fits(self) -> DataFrame:
+        """What is drawn over the bins of each fitted pair: both means, the background's weight, and the count from which it is bound."""
+        crossings = M.bound_at_count(self.curve, self.settings.bound_probability)
+        return M.backgrounds(self.fits).join(crossings, ["sampleId", "tag"], "left")
+
+    @cached_property
+    def spreads(self) -> DataFrame:
+        """(spread, bin, low, high, weight): scores and reference readings of the listed cells, over all samples."""
+        scores = stage(C.cell_score(self.states, self.cell_list, self.settings.source), "scores")
+        out = Q.score_spread(scores).select(F.lit("score").alias("spread"), "*")
+        if self.reference is None:
+            return out
+        readings = Q.reference_spread(C.listed(self.reference, self.cell_list))
+        return out.unionByName(readings.select(F.lit("referenceReading").alias("spread"), "*"))
+
+    @cached_property
+    def grouped(self) -> DataFrame:
+        """The grouping, under a property rule with `grouped`: whether a panel row has all values the rule asks for."""
+        return P.property_grouping(self.panel, self.grouping_columns, self.refs) if self.grouping_columns else self.grouping
+
+    @cached_property
+    def punched(self) -> bool:
+        """Whether the table with a column per identity and a row per member cell is made."""
+        return "cellPunch" in self.settings.wide and bool(self.universe) and not self.members.isEmpty()
+
     def run_record(self) -> DataFrame:
         """One row: the settings in force and what the run counted."""
         s = self.settings
@@ -327,6 +366,12 @@ class VerdictRun:
             "samples": self.roster.agg(F.array_join(F.array_sort(F.collect_list("sampleId")), ", ")),
             "referenceTags": self.refs.agg(F.array_join(F.array_sort(F.collect_set("tag")), ", ")),
         }
+        if self.grouping_columns:
+            facts["tagsWithoutGroupingValue"] = P.ungrouped_tags(self.grouped).agg(F.array_join(F.array_sort(F.collect_list("tag")), ", "))
+        if self.punched and self.established:
+            facts["cellPunchCells"] = self.members.agg(F.count_distinct("setId", *t.CELL))
+        if self.fitted:
+            facts["pairsUnfitted"] = M.unfitted(self.fits).agg(F.count(F.lit(1)))
         if self.cell_list is not None:
             facts["cellsInList"] = self.cell_list.agg(F.count(F.lit(1)))
         if self.tally is not None:
@@ -343,7 +388,9 @@ class VerdictRun:
             "panelLinesDropped": ", ".join(map(str, self.dropped_lines)),
             "identitySummaryLimit": t.IDENTITY_PIVOT_LIMIT, "cellPunchLimit": t.CELL_PUNCH_LIMIT,
             "undeclaredBarcodeLimit": s.undeclared_kept,
-            "identitySummaryEmitted": self.wide,
+            "identitySummaryEmitted": self.wide, "cellPunchEmitted": self.punched, "referenceSourceRequested": s.source,
+            "noBaselineReason": "" if self.established else NO_BASELINE.format(s.min_cells),
+            "referenceValues": ", ".join(sorted(s.reference_values)), "grouping": json.dumps(s.grouping or {"by": "tag"}, sort_keys=True),
         }
         one = self.spark.range(1)
         return one.select(*[F.lit(v).alias(k) for k, v in fixed.items()], *[df.scalar().alias(k) for k, df in facts.items()])
@@ -375,9 +422,11 @@ class VerdictRun:
         scalars = answers(C.cell_scalars(X.cell_admissibility(cells, s.gate, keyed), self.cell_list))
         raw = C.cell_raw_counts(self.counts, self.cell_list)
         medians = stage(S.set_tag_median(self.counts, self.members, self.offered_tags, self.small), "medians")
-        grouped = P.property_grouping(self.panel, self.grouping_columns, self.refs) if self.grouping_columns else self.grouping
         exported = [c for c in P.property_columns(self.panel) if c != "identity"]
-        held = P.identity_properties(grouped, self.panel, exported, self.grouping_columns)
+        held = P.identity_properties(self.grouped, self.panel, exported, self.grouping_columns)
+        named = self.grouping_columns[0] if len(self.grouping_columns) == 1 else s.feature_column
+        labels = P.tag_labels(self.panel, self.panel, s.feature_column)
+        pivots = labels.select(F.explode(F.array(F.lit("cellTagPivot"), F.lit("setTagMedian"))).alias("table"), "tag", "label")
         out = {
             "verdicts": answers(self.verdicts),
             "setCounts": answers(S.set_counts(self.verdicts).join(S.set_cell_counts(self.members, self.floored), "setId", "left")),
@@ -396,7 +445,11 @@ class VerdictRun:
             "offered": P.offered_table(self.offered),
             "tagIdentity": P.tag_identity(self.grouping),
             "identityLabels": P.identity_labels(self.grouping, self.panel, self.refs, self.rule_id, s.feature_column, self.grouping_columns),
-            "tagLabels": P.tag_labels(self.panel, self.panel, s.feature_column),
+            "tagLabels": labels,
+            "pivotColumns": pivots.filter(F.col("table").isin([w for w in ("cellTagPivot", "setTagMedian") if w in s.wide])),
+            "identityNameConflicts": P.identity_name_conflicts(self.grouping, self.panel, named),
+            "identityPropertyValues": P.identity_property_values(held),
+            "qcSpreads": self.spreads,
             "identityProperties": P.identity_property_table(self.grouping, held, exported),
             "panelLabels": P.panel_labels(self.sample_panels),
             "samplePanel": P.sample_panel(self.sample_panels),
@@ -407,25 +460,38 @@ class VerdictRun:
             "runMeta": self.run_record(),
         }
         out = {name: df for name, df in out.items() if name not in WIDE_TABLES or name in s.wide}
-        if "cellPunch" in s.wide and self.universe and not self.members.isEmpty():
+        if self.punched:
             out["cellPunch"] = answers(S.cell_punch(self.cell_punch_long, self.universe))
         if self.fitted:
             out["qcBackgrounds"] = M.backgrounds(self.fits)
+            out["qcTagFits"] = self.tag_fits
+            out["qcUnfitted"] = M.unfitted(self.fits)
         if self.tally is not None:
             blank = self.spark.createDataFrame([], "sampleId string, featureDroppedShare double")
             read_qc = self.read_qc if self.read_qc is not None else blank
             out["undeclaredBarcodes"] = Q.undeclared_barcodes(Q.heaviest_undeclared(self.marked_raw, s.undeclared_kept), self.tally, read_qc, self.lines)
         return out
 
-    def save(self, folder: str) -> list[str]:
-        """Write every table as Parquet under `folder`, ordered by its key within files. Returns the names written."""
+    def translated(self, names: dict[str, str]) -> dict[str, DataFrame]:
+        """The tables with sample ids replaced by `names`, in keys and inside lists; an id without a name is kept."""
+        mapping = self.spark.createDataFrame(sorted(names.items()), "from string, to string")
+        small = True if len(names) <= joins.BROADCAST_ROWS else None
+        out = {}
+        for name, df in self.tables().items():
+            if "sampleId" in df.columns:
+                df = K.translate_keys(df, "sampleId", mapping, small)
+            out[name] = K.translate_joined_lists(df, SAMPLE_LISTS.get(name, []), names)
+        return out
+
+    def save(self, folder: str, names: dict[str, str] | None = None) -> list[str]:
+        """Write every table as Parquet under `folder`, ordered by its key within files, sample ids replaced by `names`.
+        Returns the names written."""
         from ..sources.sinks import write_table
 
         written = []
-        for name, df in self.tables().items():
+        for name, df in (self.translated(names) if names else self.tables()).items():
             keys = RESULT_KEYS[name]
             safe = df.select(*[F.col(f"`{c}`") for c in df.columns])
             write_table(safe, f"{folder.rstrip('/')}/{name}.parquet", keys or [safe.columns[0]])
             written.append(name)
         return written
-

@@ -59,12 +59,41 @@ def test_every_table_is_made_and_saved(bed, spark, tmp_path):
     data, panel, linker = bed
     run = VerdictRun(data, panel, settings(), linker)
     written = run.save(str(tmp_path))
-    assert set(written) == set(RESULT_KEYS) - {"undeclaredBarcodes", "qcBackgrounds"}
+    assert set(written) == set(RESULT_KEYS) - {"undeclaredBarcodes", "qcBackgrounds", "qcTagFits", "qcUnfitted"}
     back = spark.read.parquet(str(tmp_path / "setCounts.parquet"))
     assert rows(back, "setId", "cellCount", "cellsSetAside") == {("K1", 3, 0), ("K2", 1, 1), ("K3", 2, 0), ("K4", 2, 0)}
     assert spark.read.parquet(str(tmp_path / "cellScalars.parquet")).filter("cellId = 'ambient'").first().inCellList == "false"
     record = spark.read.parquet(str(tmp_path / "runMeta.parquet")).first()
     assert (record.cellListSource, record.setCount, record.referenceTags, record.samplePanelCount) == ("clonotype linker", 4, "GGG", 2)
+    assert (record.noBaselineReason, record.referenceValues, record.grouping, record.cellPunchEmitted, record.cellPunchCells) == ("", "Control", '{"by": "tag"}', True, 8)
+    spreads = spark.read.parquet(str(tmp_path / "qcSpreads.parquet"))
+    cells = spark.read.parquet(str(tmp_path / "cellBackground.parquet")).count()
+    assert spreads.filter("spread = 'referenceReading'").agg({"weight": "sum"}).first()[0] == cells
+    assert spreads.filter("spread = 'score'").agg({"weight": "sum"}).first()[0] == spark.read.parquet(str(tmp_path / "cellScore.parquet")).count()
+
+
+def test_sample_names_replace_ids_in_keys_and_lists(bed):
+    data, panel, linker = bed
+    run = VerdictRun(data, panel, settings(), linker)
+    plain, named = run.tables(), run.translated({"S01": "first", "S03": "third"})
+    assert set(plain) == set(named)
+    assert {r.sampleId for r in named["offered"].collect()} == {"first", "S02", "third"}
+    assert named["cellPunch"].columns == plain["cellPunch"].columns and named["cellPunch"].count() == plain["cellPunch"].count()
+    assert named["runMeta"].first().samples == "first, S02, third"
+    assert "first" in {n for r in named["reagents"].collect() for n in r.samplesInPanelNames.split(", ")}
+
+
+def test_fits_travel_with_the_bins(frame, counts):
+    raw = [(2, "AAA", "AgA", "S01", "Antigen"), (3, "CCC", "AgB", "S01", "Antigen")]
+    panel = build_panel(frame(raw, "_row bigint, Seq string, Name string, Sample string, Type string"), ROLES)
+    low, high = [1, 1, 2, 2, 3] * 12, [40, 44, 47, 50, 52, 55, 61, 66] * 8
+    data = counts([("S01", f"c{i}", "AAA", n) for i, n in enumerate(low + high)] + [("S01", "c0", "CCC", 4)])
+    run = VerdictRun(data, panel, settings(source="distribution", role_column="", reference_values=(), min_cells=50))
+    tables = run.tables()
+    fit = {r.tag: r for r in tables["qcTagFits"].collect()}
+    assert fit["AAA"].backgroundMean < 5 and 40 < fit["AAA"].signalMean < 62 and 3 < fit["AAA"].boundAtCount <= 40
+    assert {r.tag for r in tables["qcUnfitted"].collect()} | set(fit) == {"AAA", "CCC"}
+    assert tables["runMeta"].first().pairsUnfitted == 2 - len(fit)
 
 
 def test_without_a_linker_membership_is_unknown(bed):
