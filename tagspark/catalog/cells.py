@@ -308,10 +308,17 @@ def cell_score(spark, sf):
     (SELECT count(*) FROM cells) AS "cellsAnalysed", 8 AS "identityCount", (SELECT count(*) FROM counts WHERE "umiCount" < 4 AND tag NOT IN (SELECT tag FROM refs)) AS "readingsFloored",
     (SELECT count(*) FROM ref WHERE "referenceCount" > 40) AS "cellsHighReference", (SELECT count(*) FROM ref WHERE "referenceCount" > 40) AS "cellsSetAside",
     (SELECT count(DISTINCT "setId") FROM linker) AS "setCount", (SELECT count(DISTINCT "panelId") FROM panels) AS "samplePanelCount",
-    (SELECT string_agg("sampleId", ', ' ORDER BY "sampleId") FROM samples) AS samples, (SELECT string_agg(tag, ', ' ORDER BY tag) FROM refs) AS "referenceTags\"""")
+    (SELECT string_agg("sampleId", ', ' ORDER BY "sampleId") FROM samples) AS samples, (SELECT string_agg(tag, ', ' ORDER BY tag) FROM refs) AS "referenceTags",
+    'declared' AS "referenceSourceRequested", '' AS "noBaselineReason", 'Control' AS "referenceValues", '{"by": "property", "columns": ["family"]}' AS grouping, 'property:family' AS "groupingId",
+    'role' AS "roleColumn", '' AS "tagsWithoutGroupingValue", 4 AS floor, CAST(75 AS DOUBLE) AS cutoff, CAST(0.9 AS DOUBLE) AS "boundProbability", 1 AS "minVoters", 40 AS "gateThreshold", true AS "cellPunchEmitted", true AS "identitySummaryEmitted",
+    (SELECT count(*) FROM (SELECT DISTINCT * FROM linker)) AS "cellPunchCells", (SELECT string_agg(identity, ', ' ORDER BY identity) FROM (SELECT DISTINCT identity FROM grp)) AS identities,
+    'F1, F2, F3; F3, F4, F5, F6' AS contending, '' AS "panelLinesDropped",
+    (SELECT count(*) FROM (SELECT "sampleId", "cellId" FROM floored WHERE tag NOT IN (SELECT tag FROM refs) GROUP BY 1, 2 HAVING max("umiCount") = 0)) AS "cellsEmptied\"""")
 def run_record(spark, sf):
     from .inputs import whole_run
 
     names = ["referenceChoice", "baselineEstablished", "cellListSource", "cellsInList", "cellsAnalysed", "identityCount", "readingsFloored",
-             "cellsHighReference", "cellsSetAside", "setCount", "samplePanelCount", "samples", "referenceTags"]
+             "cellsHighReference", "cellsSetAside", "setCount", "samplePanelCount", "samples", "referenceTags", "referenceSourceRequested", "noBaselineReason",
+             "referenceValues", "grouping", "groupingId", "roleColumn", "tagsWithoutGroupingValue", "floor", "cutoff", "boundProbability", "minVoters", "gateThreshold",
+             "cellPunchEmitted", "identitySummaryEmitted", "cellPunchCells", "identities", "contending", "panelLinesDropped", "cellsEmptied"]
     return whole_run(Bed(spark, sf)).run_record().select(*names)

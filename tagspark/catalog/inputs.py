@@ -170,6 +170,25 @@ def whole_run(bed: Bed, source: str = "declared", **more):
     return VerdictRun(bed.counts, Panel(bed.panel, [], bed.small), settings, bed.linker, bed.cell_list, **more)
 
 
+_SHORT = """CASE "sampleId" WHEN '1-URGENT' THEN 'S1' WHEN '2-HIGH' THEN 'S2' WHEN '3-MEDIUM' THEN 'S3' ELSE "sampleId" END"""
+_KEYED = {
+    "offered": "offered", "cellInList": "listed", "samplePanel": "samples", "cellBackground": 'ref f JOIN listed l USING ("sampleId", "cellId")',
+    "cellRawCounts": 'counts k JOIN listed l USING ("sampleId", "cellId")',
+    "cellPunchLong": "dense",
+}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{name}' AS "table", {_SHORT} AS "sampleId", count(*) AS rows FROM {source} GROUP BY 1, 2""" for name, source in _KEYED.items()))
+def run_translated(spark, sf):
+    """Tables of a whole run under other sample names: their rows by name."""
+    made = whole_run(Bed(spark, sf)).translated({v: k for k, v in roles.LABELS.items()})
+    out = None
+    for name in _KEYED:
+        rows = made[name].groupBy("sampleId").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "sampleId", "rows")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def sample_names(spark, inverse: bool = False):
     pairs = [(v, k) if inverse else (k, v) for k, v in sorted(roles.LABELS.items())]
     return spark.createDataFrame(pairs, "from string, to string")

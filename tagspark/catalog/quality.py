@@ -11,7 +11,7 @@ from ..operators import states as X
 from ..plans import roles
 from ..sources.sinks import stage
 from .base import Bed, aggregate_sql, query, r6, rounded
-from .inputs import bed_read_qc
+from .inputs import bed_read_qc, whole_run
 
 _ROUNDED_QC = ["matchedFraction", "panelAssignedFraction", "featureDroppedShare", "cellBarcodeValidFraction", "aggregateBarcodeFraction"]
 _QC_COLUMNS = ", ".join(f'round("{c}", 6) AS "{c}"' for c in _ROUNDED_QC)
@@ -360,23 +360,35 @@ def count_bins_filled(spark, sf):
     return Q.filled_bins(stage(Q.count_bins(roles.counts(spark, sf)), "bins"))
 
 
-@query("""AND s AS (SELECT x.score FROM states t JOIN listed l ON l."sampleId" = t."sampleId" AND l."cellId" = t."cellId" JOIN scores x ON x.n = t."umiCount" AND x.r = t."referenceCount"
-        WHERE t."unreliableReason" IS NULL), e AS (SELECT min(score) AS a, max(score) AS b FROM s)
-    SELECT CAST(g.k AS INTEGER) AS bin, round(e.a + (e.b - e.a) * g.k / 24, 6) AS low, round(e.a + (e.b - e.a) * (g.k + 1) / 24, 6) AS high, coalesce(n.n, 0) AS weight FROM range(0, 24) g(k), e
-    LEFT JOIN (SELECT least(23, CAST(floor((score - e.a) / (e.b - e.a) * 24) AS BIGINT)) AS k, count(*) AS n FROM s, e GROUP BY 1) n ON n.k = g.k""")
+_SCORE_PARTS = """s AS (SELECT x.score FROM states t JOIN listed l ON l."sampleId" = t."sampleId" AND l."cellId" = t."cellId" JOIN scores x ON x.n = t."umiCount" AND x.r = t."referenceCount"
+        WHERE t."unreliableReason" IS NULL), e AS (SELECT min(score) AS a, max(score) AS b FROM s)"""
+_SCORE_SPREAD = """SELECT CAST(g.k AS INTEGER) AS bin, round(e.a + (e.b - e.a) * g.k / 24, 6) AS low, round(e.a + (e.b - e.a) * (g.k + 1) / 24, 6) AS high, coalesce(n.n, 0) AS weight FROM range(0, 24) g(k), e
+    LEFT JOIN (SELECT least(23, CAST(floor((score - e.a) / (e.b - e.a) * 24) AS BIGINT)) AS k, count(*) AS n FROM s, e GROUP BY 1) n ON n.k = g.k"""
+
+
+@query(f"AND {_SCORE_PARTS} {_SCORE_SPREAD}")
 def score_spread(spark, sf):
     bed = Bed(spark, sf)
     return rounded(Q.score_spread(stage(C.cell_score(bed.states, bed.cell_list), "scores")), "low", "high")
 
 
-@query(f"""AND b AS (SELECT {_BIN.format('"referenceCount"')} AS bin, count(*) AS n FROM ({_LISTED_REF}) GROUP BY 1)
-    SELECT CAST(g.k AS INTEGER) AS bin, round(exp(g.k * 0.2) - 1, 6) AS low, round(exp((g.k + 1) * 0.2) - 1, 6) AS high, coalesce(b.n, 0) AS weight
-    FROM range(0, (SELECT max(bin) + 1 FROM b)) g(k) LEFT JOIN b ON b.bin = g.k""")
+_READING_PARTS = f"""b AS (SELECT {_BIN.format('"referenceCount"')} AS bin, count(*) AS n FROM ({_LISTED_REF}) GROUP BY 1)"""
+_READING_SPREAD = """SELECT CAST(g.k AS INTEGER) AS bin, round(exp(g.k * 0.2) - 1, 6) AS low, round(exp((g.k + 1) * 0.2) - 1, 6) AS high, coalesce(b.n, 0) AS weight
+    FROM range(0, (SELECT max(bin) + 1 FROM b)) g(k) LEFT JOIN b ON b.bin = g.k"""
+
+
+@query(f"AND {_READING_PARTS} {_READING_SPREAD}")
 def reference_spread(spark, sf):
     bed = Bed(spark, sf)
     return rounded(Q.reference_spread(C.listed(bed.reference, bed.cell_list)), "low", "high")
 
 
+@query(f"""AND {_SCORE_PARTS}, {_READING_PARTS} SELECT 'score' AS spread, * FROM ({_SCORE_SPREAD}) UNION ALL SELECT 'referenceReading', * FROM ({_READING_SPREAD})""")
+def run_spreads(spark, sf):
+    """Both spreads as a whole run saves them."""
+    return rounded(whole_run(Bed(spark, sf)).spreads, "low", "high")
+
+
 @query("""AND b AS (SELECT tag, CAST(floor("umiCount" / 10) AS BIGINT) AS k, count(*) AS n FROM counts GROUP BY 1, 2)
     SELECT tag, round(k * 10 + (j + 0.5) * 10.0 / n, 6) AS value FROM (SELECT tag, k, n, unnest(range(0, n)) AS j FROM b)""")
 def values_from_bins(spark, sf):
