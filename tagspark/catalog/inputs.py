@@ -36,14 +36,16 @@ def linker_read(spark, sf):
     return tables.read_keys(spark, path, ["sampleId", "cellId", "setId"], "linker file")
 
 
-@query("""SELECT '2-HIGH' AS "sampleId", "cellId" AS "CELL", tag AS "FEATURE", "totalWeight" AS count, "totalWeight" * 2 AS "totalWeight",
-    "umiCount" AS "unique_UMI" FROM counts WHERE "sampleId" = '2-HIGH'""")
+@query("""SELECT "sampleId", "cellId" AS "CELL", tag AS "FEATURE", "totalWeight" AS count, "totalWeight" * 2 AS "totalWeight", "umiCount" AS "unique_UMI" FROM counts""")
 def tag_stat_read(spark, sf):
-    """One sample's statistics written tab-separated and read with a declared schema."""
-    path = _folder(spark, "tagstat.tsv")
-    one = roles.tag_statistics(spark, sf).filter("sampleId = '2-HIGH'").drop("sampleId")
-    one.write.options(header=True, sep="\t").csv(path)
-    return tables.read_tag_stat(spark, path, "2-HIGH")
+    """Each sample's statistics written tab-separated and read with a declared schema."""
+    stat, out = sinks.stage(roles.tag_statistics(spark, sf), "tagstat"), None
+    for row in roles.samples(spark, sf).orderBy("sampleId").collect():
+        path = _folder(spark, "tagstat.tsv")
+        stat.filter(F.col("sampleId") == row["sampleId"]).drop("sampleId").write.options(header=True, sep="\t").csv(path)
+        read = tables.read_tag_stat(spark, path, row["sampleId"])
+        out = read if out is None else out.unionByName(read)
+    return out
 
 
 @query("SELECT tag, sample, feature, role, family, coalesce(lot, '') AS lot FROM panel")
@@ -73,16 +75,16 @@ def bed_read_qc(spark, sf):
     return sinks.stage(Q.read_qc(R.tag_stat(placed), R.parse_report(tagged), refine), "read-qc")
 
 
-_QC_SQL = """SELECT "sampleId", CAST("readsTotal" AS DOUBLE) AS "readsTotal", round("matchedFraction", 6) AS "matchedFraction",
-    CAST("cellsDetected" AS DOUBLE) AS "cellsDetected", round("panelAssignedFraction", 6) AS "panelAssignedFraction" FROM readqc"""
+_QC_SHARES = ["matchedFraction", "panelAssignedFraction", "featureDroppedShare", "cellBarcodeValidFraction", "aggregateBarcodeFraction", "aggregateBarcodeThreshold"]
+_QC_NUMBERS = ["readsTotal", "readsMatched", "cellsDetected", "featuresDetected", "totalUniqueUmis", "medianUmisPerCell", "cellBarcodeIn", "cellBarcodeOut", "aggregateBarcodesFlagged"]
+_QC_SQL = f"""SELECT "sampleId", {", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in _QC_NUMBERS)}, {", ".join(f'round("{c}", 6) AS "{c}"' for c in _QC_SHARES)} FROM readqc"""
 
 
 @query(_QC_SQL)
 def read_qc_read(spark, sf):
     path = _folder(spark, "qc.csv")
     sinks.write_sorted(bed_read_qc(spark, sf), path, ["sampleId"])
-    read = tables.read_read_qc(spark, path)
-    return rounded(read.select("sampleId", "readsTotal", "matchedFraction", "cellsDetected", "panelAssignedFraction"), "matchedFraction", "panelAssignedFraction")
+    return rounded(tables.read_read_qc(spark, path), *_QC_SHARES).select("sampleId", *_QC_NUMBERS, *_QC_SHARES)
 
 
 @query('SELECT "sampleId", total, matched FROM parse')
@@ -91,7 +93,7 @@ def parse_report_read(spark, sf):
     path = _folder(spark, "parse.json")
     report = R.parse_report(roles.tagged_reads(spark, sf))
     report.select("sampleId", F.struct("total", "matched").alias("parseReport")).write.option("maxRecordsPerFile", 1).json(path)
-    return tables.read_parse_reports(spark, path).filter("sampleId is not null")
+    return tables.read_parse_reports(spark, path)
 
 
 @query("""SELECT "sampleId", "tagName", "inputCount", "outputCount" FROM refine""")
