@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagspark.llm import bpe, decontaminate, pii, quality, simhash
+from tagspark.llm import bpe, decontaminate, near_copies, pii, quality, simhash
 from tagspark.llm.queries import pattern, table, vocabulary
 from tagspark.sources.sinks import stage
 
@@ -20,9 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id. Rows of one doc_id stay together."""
-    return simhash.one_of_each(docs)
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int | None = None) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest doc_id. Rows of one doc_id stay together.
+
+    `percent` also links texts whose five-word shingles are as similar; without it the links are op10's alone.
+    """
+    return simhash.one_of_each(docs, links=None if percent is None else near_copies.links(docs, percent))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +55,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, percent: int | None = None) -> DataFrame:
+    """The last stage's rows. `percent` (80, say) makes the second stage take near copies of that similarity as well."""
     docs = table(spark, sf_dir, "documents")
     for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), name)
+        more = {"percent": percent} if apply is near_duplicates else {}
+        docs = stage(apply(spark, docs, sf_dir, **more), name)
     return docs

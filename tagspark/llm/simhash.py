@@ -126,16 +126,19 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, crowd: int = 32, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, crowd: int = 32, id_column: str = "doc_id", text_column: str = "text", links: DataFrame | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of `docs`.
 
-    component_id is the smallest doc_id reachable over fingerprints that differ in at most two bits. Null and empty
+    component_id is the smallest doc_id reachable over fingerprints that differ in at most two bits, and over `links`
+    (a, b) of further fingerprints, such as those of `near_copies`. Null and empty
     texts have fingerprint zero and are linked like any other. Rows that repeat a doc_id are kept, each with its
     own text's fingerprint. A null doc_id is never smallest; its row joins its component, null if that has no id.
     """
     marked = stage(fingerprints(docs, width, id_column, text_column), "fingerprints")
     firsts = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    found = stage(components(signature_links(firsts.select("fp"), crowd)).withColumnRenamed("node", "fp"), "components")
+    edges = signature_links(firsts.select("fp"), crowd)
+    edges = edges if links is None else edges.unionByName(links)
+    found = stage(components(edges).withColumnRenamed("node", "fp"), "components")
     linked = firsts.select("fp", "first").join(found, "fp")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = lookup(linked, smallest, ["root"], "inner").select("fp", "component_id")
@@ -149,12 +152,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, crowd: int = 32, id_column:
     )
 
 
-def one_of_each(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text", links: DataFrame | None = None) -> DataFrame:
     """The documents without those that have a smaller doc_id in their component; rows of one doc_id go together.
 
     Rows without a doc_id stay: they can't be told to be someone's copy by id.
     """
-    groups = near_duplicates(docs, width, id_column=id_column, text_column=text_column)
+    groups = near_duplicates(docs, width, id_column=id_column, text_column=text_column, links=links)
     gone = stage(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
     key = fresh(docs, "_doc")
     kept = lookup(docs.toDF(*docs.columns).withColumn(key, F.col(f"`{id_column}`")), gone.withColumnRenamed("doc_id", key), [key], "left_anti")
