@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int | None = None) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id. Rows of one doc_id stay together.
+    """Of each group of linked fingerprints the row with the smallest doc_id, and no other.
 
     `percent` also links texts whose five-word shingles are as similar; without it the links are op10's alone.
     """

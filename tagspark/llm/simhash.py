@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import lookup
 from ..sources.sinks import stage
-from .rows import fresh, pick, slices, whole_text
+from .rows import pick, slices, whole_text
 
 BITS, HALF, DISTANCE = 64, 32, 2
 SEED = 42
@@ -153,12 +153,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, crowd: int = 32, id_column:
 
 
 def one_of_each(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text_column: str = "text", links: DataFrame | None = None) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component; rows of one doc_id go together.
-
-    Rows without a doc_id stay: they can't be told to be someone's copy by id.
+    """Exactly one row of each component: that of the smallest doc_id, and of several such rows the one whose text has
+    the least digest. Rows without a doc_id come last. Of rows that repeat id and text any one stays.
     """
-    groups = near_duplicates(docs, width, id_column=id_column, text_column=text_column, links=links)
-    gone = stage(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    key = fresh(docs, "_doc")
-    kept = lookup(docs.toDF(*docs.columns).withColumn(key, F.col(f"`{id_column}`")), gone.withColumnRenamed("doc_id", key), [key], "left_anti")
-    return kept.drop(key)
+    columns = docs.columns
+    numbered = docs.toDF(*[f"_{i}" for i in range(len(columns))])  # any name may stand in the columns
+    number, text = (F.col(f"_{columns.index(c)}") for c in (id_column, text_column))
+    row = F.struct(number.isNull().alias("last"), number.alias("id"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("text"))
+    keyed = numbered.withColumn("row", row)
+    groups = near_duplicates(keyed, width, id_column="row", text_column=f"_{columns.index(text_column)}", links=links)
+    groups = groups.select(F.col("doc_id").alias("row"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
+    gone = stage(groups.filter("not first").select("row").distinct(), "copies")
+    repeated = stage(groups.filter("first").groupBy("row").count().filter("count > 1").select("row"), "repeats")
+    kept = lookup(keyed, gone, ["row"], "left_anti")
+    if repeated.limit(1).count():
+        each = F.struct(*numbered.columns)
+        once = lookup(kept, repeated, ["row"], "left_semi").groupBy("row").agg(F.first(each).alias("each")).select("each.*")
+        kept = lookup(kept, repeated, ["row"], "left_anti").drop("row").unionByName(once)
+    return kept.drop("row").toDF(*columns)

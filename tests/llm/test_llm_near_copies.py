@@ -55,3 +55,14 @@ def test_crowds_of_near_copies(spark):
         assert all(found[d] == found[root] for d, root in plain.items())
         assert found[0] != found[60] and found[200] == 200 and found[205] == 205
     assert near_copies.links(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "sun moon sky sea land")
+    rows = [(5, a, 1.0), (7, a.upper(), 2.0), (5, b, 3.0), (1, b.upper(), 4.0), (9, c, 5.0), (9, c, 6.0), (None, c, 7.0), (None, "none else", 8.0), (None, "none else", 9.0), (None, None, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` double")
+    left = simhash.one_of_each(df)
+    assert left.columns == df.columns
+    left = {(r["doc_id"], r["text"]): r["a.b"] for r in left.collect()}
+    assert left.keys() == {(5, a), (1, b.upper()), (9, c), (None, "none else"), (None, None)}
+    assert left[9, c] in (5.0, 6.0) and simhash.one_of_each(df).count() == 5
