@@ -29,7 +29,7 @@ BLOCKS = set(
     "html head body div section article main header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption form fieldset legend label address details summary center dialog menu search hgroup button select optgroup option noscript".split()
 )
-RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp", "template", "svg", "canvas", "audio", "video", "object", "math"}
+RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = {"head", "button", "select", "optgroup", "option", "noscript"}
 #: An opening tag ends these open ones, up to the elements of the second set.

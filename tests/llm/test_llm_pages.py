@@ -50,6 +50,15 @@ def test_odd_pages(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_embedded_elements_are_read_as_markup():
+    held = lambda html: [t for t in pages.parse(html).text if t]
+    assert held("<p>Sum <math><mi>x</mi></math> here.</p>") == ["Sum x here."]
+    for tag in ("svg", "math", "object", "video", "audio", "canvas", "template"):
+        assert held(f"<p>One.</p><{tag}><p>Instead.</p></{tag}><p>Two.</p>") == ["One.", "Instead.", "Two."]
+        assert held(f"<p>One.</p><{tag}><p>Two.</p>") == ["One.", "Two."]
+    assert held("<svg><style>p {}</style><title>no</title></svg><p>One.</p>") == ["One."]
+
+
 def plain_url(url):
     if not url or "://" not in url:
         return "", ""
