@@ -29,9 +29,3 @@ COUNTS = "sampleId string, cellId string, tag string, umiCount bigint"
 @pytest.fixture
 def counts(frame):
     return lambda rows: frame(rows, COUNTS)
-
-
-def rows(df, *columns):
-    """The rows as a set of tuples."""
-    picked = df.select(*columns) if columns else df
-    return {tuple(r) for r in picked.collect()}

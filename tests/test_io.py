@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tagspark.operators import keys as K
 from tagspark.sources import sinks, tables

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tagspark.functions import terms as t
 from tagspark.operators import checks as D

@@ -1,7 +1,7 @@
 """Whole runs over a small bed with every state planted."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tagspark.functions import terms as t
 from tagspark.plans.run import RESULT_KEYS, Settings, VerdictRun
