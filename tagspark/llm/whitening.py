@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +164,7 @@ def leading(matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 def entries(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(which rows remain, their whole-number entries): vectors of `length` finite entries."""
     lists = batch.column("vector")
-    sizes = np.array([-1 if v is None else v for v in pa.compute.list_value_length(lists).to_pylist()])
+    sizes = np.array([-1 if v is None else v for v in pc.list_value_length(lists).to_pylist()])
     ends = np.cumsum(np.maximum(sizes, 0))
     flat = lists.flatten()
     values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)  # a null is not a number
