@@ -314,7 +314,10 @@ PARTS["panels"] = """SELECT "sampleId", left(sha256(array_to_string(list(tag ORD
 
 
 def with_parts(body: str, instead: dict[str, str] | None = None) -> str:
-    """The body after the parts it uses, directly or through another part; `instead` takes the place of parts by name."""
+    """The body after the parts it uses, directly or through another part; `instead` takes the place of parts by name.
+
+    A body that starts with AND brings further parts, with AND RECURSIVE such that read themselves.
+    """
     import re
 
     parts = {**PARTS, **(instead or {})}
@@ -333,4 +336,5 @@ def with_parts(body: str, instead: dict[str, str] | None = None) -> str:
     body = body.strip()
     if not head:
         return body
-    return f"WITH {head}{',' if body.startswith('AND ') else ''}\n{body.removeprefix('AND ')}"
+    turns = "RECURSIVE " if body.startswith("AND RECURSIVE ") else ""
+    return f"WITH {turns}{head}{',' if body.startswith('AND ') else ''}\n{body.removeprefix('AND ').removeprefix(turns)}"

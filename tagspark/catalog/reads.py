@@ -59,6 +59,63 @@ def corrected_to_panel_within_two(spark, sf):
     return R.correct_to_panel(mols, stage(roles.coded_panel(spark, sf).select("sampleId", "tag"), "panel"), max_subs=2)
 
 
+# molecules whose tag lost or gained letters on the way, by the end of the molecule's code
+_LAST = 'right("UMI", 2)'
+_EDITED = f"""SELECT "sampleId", "CELL", "UMI", CASE
+        WHEN {_LAST} IN ('AA', 'CA') THEN substr("FEATURE", 1, 4) || substr("FEATURE", 6)
+        WHEN {_LAST} = 'GC' THEN substr("FEATURE", 1, 3) || 'T' || substr("FEATURE", 4)
+        WHEN {_LAST} = 'GG' THEN substr("FEATURE", 1, 1) || substr("FEATURE", 3, 6) || substr("FEATURE", 10)
+        WHEN {_LAST} = 'TC' THEN translate(substr("FEATURE", 1, 2), 'ACGT', 'CGTA') || substr("FEATURE", 3, 5) || substr("FEATURE", 9)
+        WHEN {_LAST} = 'TT' THEN substr("FEATURE", 1, 2) || substr("FEATURE", 4) || 'A'
+        WHEN {_LAST} = 'CG' THEN substr("FEATURE", 1, 5) || 'G' || substr("FEATURE", 6, 4) || 'A' || substr("FEATURE", 10)
+        WHEN {_LAST} = 'TG' THEN substr("FEATURE", 5) ELSE "FEATURE" END AS "FEATURE", reads, weight FROM mols"""
+
+
+def edited_molecules(spark, sf):
+    """Molecules with letters put in or left out of their tag, as the parts of the SQL above spell it."""
+    mols, tag, last = R.molecules(roles.tagged_reads(spark, sf)), F.col("FEATURE"), F.substring("UMI", -2, 2)
+    part = lambda start, size=99: F.substring("FEATURE", start, size)
+    spelled = (
+        F.when(last.isin("AA", "CA"), F.concat(part(1, 4), part(6)))
+        .when(last == "GC", F.concat(part(1, 3), F.lit("T"), part(4)))
+        .when(last == "GG", F.concat(part(1, 1), part(3, 6), part(10)))
+        .when(last == "TC", F.concat(F.translate(part(1, 2), "ACGT", "CGTA"), part(3, 5), part(9)))
+        .when(last == "TT", F.concat(part(1, 2), part(4), F.lit("A")))
+        .when(last == "CG", F.concat(part(1, 5), F.lit("G"), part(6, 4), F.lit("A"), part(10)))
+        .when(last == "TG", part(5))
+        .otherwise(tag)
+    )
+    return stage(mols.withColumn("FEATURE", spelled), "molecules")
+
+
+def _out_sql(code: str, times: int = 1) -> str:
+    """The code with letters taken out."""
+    one = f"[substr({code}, 1, i - 1) || substr({code}, i + 1) FOR i IN range(1, length({code}) + 1)]"
+    return one if times == 1 else f"flatten([[substr(x, 1, j - 1) || substr(x, j + 1) FOR j IN range(1, length(x) + 1)] FOR x IN {one}])"
+
+
+def _apart_sql(a: str, b: str) -> str:
+    """Errors between two codes by the kinds of an alignment: two substitutions, two indels, three in all."""
+    least = lambda xs, y: f"list_min([hamming(q, {y}) FOR q IN {xs}])"
+    both = f"list_min(flatten([[hamming(q, r) FOR r IN {_out_sql(b)}] FOR q IN {_out_sql(a)}]))"
+    within = lambda n, most, more: f"(CASE WHEN {n} <= {most} THEN {n} + {more} END)"
+    same = f"least({within(f'hamming({a}, {b})', 2, 0)}, {within(both, 1, 2)})"
+    cases = {0: same, 1: within(least(_out_sql(b), a), 2, 1), -1: within(least(_out_sql(a), b), 2, 1), 2: within(least(_out_sql(b, 2), a), 1, 2), -2: within(least(_out_sql(a, 2), b), 1, 2)}
+    return f"CASE length({b}) - length({a}) " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + " END"
+
+
+@query(f"""AND edited AS ({_EDITED}), whole AS (SELECT "sampleId", "CELL", "UMI", "FEATURE", sum(reads) AS reads, sum(weight) AS weight FROM edited GROUP BY ALL),
+    odd AS (SELECT DISTINCT "sampleId", "FEATURE" FROM whole), pairs AS (SELECT s."sampleId", s."FEATURE", p.tag FROM odd s JOIN cpanel p ON p."sampleId" = s."sampleId" AND levenshtein(s."FEATURE", p.tag) <= 3),
+    apart AS (SELECT *, CASE WHEN tag = "FEATURE" THEN 0 ELSE {_apart_sql('"FEATURE"', 'tag')} END AS d FROM pairs),
+    moves AS (SELECT "sampleId", "FEATURE", min(tag) AS tag FROM (SELECT *, min(d) OVER (PARTITION BY "sampleId", "FEATURE") AS best FROM apart) WHERE d = best GROUP BY 1, 2 HAVING count(*) = 1)
+    SELECT m."sampleId", "CELL", "UMI", x.tag AS "FEATURE", CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(weight) AS BIGINT) AS weight
+    FROM whole m JOIN moves x ON x."sampleId" = m."sampleId" AND x."FEATURE" = m."FEATURE" GROUP BY 1, 2, 3, 4""")
+def corrected_to_panel_with_indels(spark, sf):
+    """Up to two substitutions, two letters put in or left out, and three errors in all."""
+    panel = stage(roles.coded_panel(spark, sf).select("sampleId", "tag"), "panel")
+    return R.correct_to_panel(edited_molecules(spark, sf), panel, max_subs=2, max_indels=2, max_errors=3)
+
+
 def _near_sql(column: str) -> str:
     """All one-substitution neighbours of a code."""
     return (
@@ -103,6 +160,29 @@ def corrected_cells_de_novo(spark, sf):
     return R.correct_de_novo(stage(R.molecules(roles.tagged_reads(spark, sf)), "molecules"), "CELL", 2.0)
 
 
+# cells whose reads grow from cell to cell, so that a code's neighbour moves on itself: half of them lose letters' weight
+_SLOPE = """SELECT "sampleId", "CELL", "UMI", "FEATURE", CAST(reads * pow(3, length("CELL") - length(replace("CELL", 'A', ''))) AS BIGINT) AS reads, weight FROM
+    (SELECT "sampleId", left("CELL", 3) || substr("CELL", 10, 3) AS "CELL", "UMI", "FEATURE", sum(reads) AS reads, CAST(sum(weight) AS BIGINT) AS weight FROM mols GROUP BY ALL)"""
+
+
+@query(f"""AND RECURSIVE slope AS ({_SLOPE}), sizes AS (SELECT "sampleId", "CELL", CAST(sum(reads) AS BIGINT) AS n FROM slope GROUP BY ALL),
+    tries AS (SELECT *, {_near_sql('"CELL"')} AS near FROM sizes),
+    moves AS (SELECT s."sampleId", s."CELL", arg_min(s.near, struct_pack(a := -b.n, c := s.near)) AS moved FROM tries s
+        JOIN sizes b ON b."sampleId" = s."sampleId" AND b."CELL" = s.near WHERE b.n >= s.n * 2.0 GROUP BY ALL),
+    walk("sampleId", "CELL", reached, step) AS (SELECT "sampleId", "CELL", moved, 1 FROM moves
+        UNION ALL SELECT w."sampleId", w."CELL", m.moved, step + 1 FROM walk w JOIN moves m ON m."sampleId" = w."sampleId" AND m."CELL" = w.reached),
+    ends AS (SELECT "sampleId", "CELL", arg_max(reached, step) AS moved FROM walk GROUP BY ALL)
+    SELECT m."sampleId", coalesce(v.moved, m."CELL") AS "CELL", "UMI", "FEATURE", CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(weight) AS BIGINT) AS weight
+    FROM slope m LEFT JOIN ends v ON v."sampleId" = m."sampleId" AND v."CELL" = m."CELL" GROUP BY ALL""")
+def corrected_cells_chained(spark, sf):
+    """Short cell codes with reads that rise along the letters, so that moves follow each other."""
+    mols = R.molecules(roles.tagged_reads(spark, sf))
+    short = mols.withColumn("CELL", F.concat(F.substring("CELL", 1, 3), F.substring("CELL", 10, 3)))
+    merged = R.merge_molecules(short)
+    letters = F.length("CELL") - F.length(F.replace("CELL", F.lit("A"), F.lit("")))
+    return R.correct_de_novo(stage(merged.withColumn("reads", (F.col("reads") * F.pow(F.lit(3), letters)).cast("bigint")), "molecules"), "CELL", 2.0, chained=True)
+
+
 @query(_de_novo_sql('"UMI"', '"sampleId", "CELL", "FEATURE"'))
 def corrected_molecules_de_novo(spark, sf):
     return R.correct_de_novo(stage(R.molecules(roles.tagged_reads(spark, sf)), "molecules"), "UMI", 2.0)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import joins
+from ..sources.sinks import stage
 
 # fixed values: the layout of a read pair and the names of its parts
 LAYOUT = r"\^\(CELL:N\{(\d+)\}\)\(UMI:N\{(\d+)\}\)(\*?)\\\^(?:N\{(\d+)\})?\(FEATURE:N\{(\d+)\}\)\(R2:\*\)"
@@ -129,17 +130,46 @@ def _masks(code: Column, distance: int) -> Column:
     return F.transform(masked, lambda s: s["m"])
 
 
-def feature_corrections(seen: DataFrame, panel: DataFrame, max_subs: int = 1, small: bool | None = None) -> DataFrame:
-    """(sampleId, FEATURE, corrected) for the sequences seen in a sample that its panel does not hold.
+def _deletions(code: Column, count: int) -> Column:
+    """What is left of the code after taking out any `count` of its letters, each form once."""
+    left = F.array(F.struct(code.alias("m"), F.lit(1).alias("at")))
+    for _ in range(count):
+        left = F.flatten(F.transform(left, lambda s: F.transform(
+            F.filter(F.sequence(F.lit(0), F.length(s["m"])), lambda i: i >= s["at"]),
+            lambda i: F.struct(F.overlay(s["m"], F.lit(""), i, F.lit(1)).alias("m"), i.alias("at")),
+        )))
+    return F.array_distinct(F.transform(left, lambda s: s["m"]))
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """Places at which two codes of one length differ."""
+    return F.size(F.filter(F.sequence(F.lit(0), F.length(a)), lambda i: (i > 0) & (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))))
+
+
+def _errors(subs: int, indels: int, most: int) -> list[tuple[int, int, int]]:
+    """The (substitutions, insertions, deletions) that the limits allow, but for none at all."""
+    counts = [(s, i, j) for s in range(subs + 1) for i in range(indels + 1) for j in range(indels + 1 - i)]
+    return [c for c in counts if 0 < sum(c) <= most]
+
 
-    `panel` is (sampleId, tag). A sequence moves to the one panel barcode at the least distance within `max_subs`
-    substitutions; a tie leaves it unplaced. Sequences within d substitutions agree once some d positions are
-    blanked, so candidates come from an equality on blanked codes and no read is compared with the whole panel.
+def limited_distance(a: Column, b: Column, max_subs: int, max_indels: int, max_errors: int) -> Column:
+    """The least number of errors that turn `a` into `b` within the limits on each kind; null where they can't.
+
+    The banded edit distance decides where it is so small that any mix of errors is allowed. Only above that the mix
+    counts: with so many letters taken out of either code, how many of the rest differ.
     """
-    if max_subs < 1:
-        raise ValueError("max_subs must be at least 1")
-    tags = panel.select("sampleId", F.col("tag").alias("FEATURE"))
-    odd = joins.lookup(seen.select("sampleId", "FEATURE").distinct(), tags, ["sampleId", "FEATURE"], "left_anti", small)
+    total = F.levenshtein(a, b, max_errors)
+    costs = []
+    for i in range(max_indels + 1):
+        for j in range(max_indels + 1 - i):
+            least = F.array_min(F.flatten(F.transform(_deletions(a, j), lambda x: F.transform(_deletions(b, i), lambda y: _differing(x, y)))))
+            subs = F.when(F.length(b) - F.length(a) == i - j, least)
+            costs.append(F.when(subs <= min(max_subs, max_errors - i - j), subs + i + j))
+    mixed = F.least(*costs) if len(costs) > 1 else costs[0]
+    return F.when(total < 0, F.lit(None)).when(total <= min(max_subs, max_indels), total).otherwise(mixed)
+
+
+def _substituted_hits(odd: DataFrame, panel: DataFrame, max_subs: int, small: bool | None) -> DataFrame:
     found = None
     for d in range(1, max_subs + 1):
         left = odd.select("sampleId", "FEATURE", F.explode(_masks(F.col("FEATURE"), d)).alias("mask"))
@@ -147,14 +177,61 @@ def feature_corrections(seen: DataFrame, panel: DataFrame, max_subs: int = 1, sm
         near = joins.lookup(left, right, ["sampleId", "mask"], "inner", small)
         near = near.select("sampleId", "FEATURE", "corrected", F.lit(d).alias("distance"))
         found = near if found is None else found.unionByName(near)
+    return found
+
+
+def _edited_hits(odd: DataFrame, panel: DataFrame, max_subs: int, max_indels: int, max_errors: int, small: bool | None) -> DataFrame:
+    """Pairs within the limits, by a deletion neighbourhood: taking the letters that s substitutions, i insertions and j
+    deletions touch out of both codes (s + j of one, s + i of the other) leaves the same letters."""
+    errors = _errors(max_subs, max_indels, max_errors)
+    ways = sorted({(s + j, s + i) for s, i, j in errors})
+
+    def index(code: Column, sizes: list[int]) -> Column:
+        form = lambda n: lambda m: F.struct(m.alias("left"), F.lit(n).alias("out"))
+        return F.explode(F.concat(*[F.transform(_deletions(code, n), form(n)) for n in sizes]))
+
+    own, other = (sorted({w[k] for w in ways}) for k in (0, 1))
+    left = odd.select("sampleId", "FEATURE", index(F.col("FEATURE"), own).alias("v")).select("sampleId", "FEATURE", F.col("v.left").alias("left"), F.col("v.out").alias("a"))
+    right = panel.select("sampleId", F.col("tag").alias("corrected"), index(F.col("tag"), other).alias("v"))
+    right = right.select("sampleId", F.col("v.left").alias("left"), "corrected", F.col("v.out").alias("b"))
+    met = joins.lookup(left, right, ["sampleId", "left"], "inner", joins.fits(right) if small is None or small else small)
+    pairs = met.filter((F.col("a") * 64 + F.col("b")).isin([a * 64 + b for a, b in ways])).select("sampleId", "FEATURE", "corrected").distinct()
+    near = pairs.withColumn("distance", limited_distance(F.col("FEATURE"), F.col("corrected"), max_subs, max_indels, max_errors))
+    return near.filter("distance is not null")
+
+
+def feature_corrections(
+    seen: DataFrame, panel: DataFrame, max_subs: int = 1, small: bool | None = None, max_indels: int = 0, max_errors: int | None = None
+) -> DataFrame:
+    """(sampleId, FEATURE, corrected) for the sequences seen in a sample that its panel does not hold.
+
+    `panel` is (sampleId, tag). A sequence moves to the one panel barcode with the fewest errors, of at most `max_subs`
+    substitutions, `max_indels` letters put in or left out, and `max_errors` of both; a tie leaves it unplaced.
+    Candidates come from an equality, so no read is compared with the whole panel: of codes with d positions blanked
+    where only substitutions count, else of codes with letters taken out. A sample's barcodes decide how many forms the
+    panel side has (576 at most for one of 15 letters and three errors); it is broadcast only if they were counted.
+    """
+    if max_indels < 0 or max_subs < 0 or max_subs + max_indels < 1:
+        raise ValueError("max_subs or max_indels must be at least 1, and neither below 0")
+    tags = panel.select("sampleId", F.col("tag").alias("FEATURE"))
+    odd = joins.lookup(seen.select("sampleId", "FEATURE").distinct(), tags, ["sampleId", "FEATURE"], "left_anti", small)
+    most = max_subs + max_indels if max_errors is None else max_errors
+    if most < 1:
+        raise ValueError("max_errors must be at least 1")
+    if max_indels:
+        found = _edited_hits(odd, panel, max_subs, max_indels, most, small)
+    else:
+        found = _substituted_hits(odd, panel, min(max_subs, most), small)
     return _unique_hit(found, ["sampleId", "FEATURE"], "corrected")
 
 
-def correct_to_panel(mols: DataFrame, panel: DataFrame, max_subs: int = 1, small: bool | None = None) -> DataFrame:
+def correct_to_panel(
+    mols: DataFrame, panel: DataFrame, max_subs: int = 1, small: bool | None = None, max_indels: int = 0, max_errors: int | None = None
+) -> DataFrame:
     """Molecules with FEATURE snapped onto the sample's panel; those that cannot be placed are dropped."""
     tags = panel.select("sampleId", F.col("tag").alias("FEATURE"), F.lit(True).alias("_held"))
     marked = joins.lookup(mols, tags, ["sampleId", "FEATURE"], "left", small)
-    moves = feature_corrections(mols, panel, max_subs, small)
+    moves = feature_corrections(mols, panel, max_subs, small, max_indels, max_errors)
     kept = marked.filter("_held").drop("_held")
     strays = marked.filter("_held is null").drop("_held")
     # a stray sequence may hold a large share of the reads, so its rows are spread before they meet their correction
@@ -208,15 +285,33 @@ def de_novo_corrections(mols: DataFrame, column: str, within: list[str], ratio:
     )
 
 
-def correct_de_novo(mols: DataFrame, column: str = "CELL", ratio: float = 2.0) -> DataFrame:
+def strongest_ancestor(moves: DataFrame, within: list[str], column: str) -> DataFrame:
+    """The moves with `corrected` the end of each code's chain: the code that itself moves no further.
+
+    A code moves only to one with more reads, so chains end. Pointer jumping: each turn replaces a target by the
+    target's own target, which halves the chains, and is a written table. Codes that no one moves onto are never looked
+    up as targets, so the joins are on codes, of which a cell or molecule has one row each.
+    """
+    while True:
+        on = moves.select(*within, F.col(column).alias("corrected"), F.col("corrected").alias("next"))
+        jumped = stage(moves.join(on, [*within, "corrected"], "left"), "moves")
+        if jumped.filter("next is not null").isEmpty():
+            return moves
+        moves = jumped.select(*within, column, F.coalesce("next", "corrected").alias("corrected"))
+
+
+def correct_de_novo(mols: DataFrame, column: str = "CELL", ratio: float = 2.0, chained: bool = False) -> DataFrame:
     """Molecules with rare codes of `column` merged onto a frequent neighbour.
 
-    CELL is corrected within its sample, UMI within its sample, cell and feature.
+    CELL is corrected within its sample, UMI within its sample, cell and feature. With `chained`, a code follows its
+    neighbour when that moves as well, up to the code that stays: a cluster may then reach over several substitutions.
     """
     if ratio <= 1:
         raise ValueError("ratio must be above 1, or two equal codes would each move onto the other")
     within = {"CELL": ["sampleId"], "UMI": ["sampleId", "CELL", "FEATURE"]}[column]
     moves = de_novo_corrections(mols, column, within, ratio)
+    if chained:
+        moves = strongest_ancestor(stage(moves, "moves"), within, column)
     moved = joins.salted_join(mols, moves, [*within, column], "left")
     return merge_molecules(moved.withColumn(column, F.coalesce("corrected", column)).drop("corrected"))
 

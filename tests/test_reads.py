@@ -48,6 +48,61 @@ def test_correction_places_the_unique_nearest(frame):
     assert two == {("u1", "AAAA", 7), ("u2", "CCCC", 1)}  # AATT lies two from both AAAA and TTTT
 
 
+def errors(a, b, subs, indels, most):
+    """The fewest errors that turn `a` into `b`, by trying every alignment within the limits."""
+    best, turns = None, [(0, 0, 0, 0)]
+    while turns:
+        i, j, s, d = turns.pop()
+        if s > subs or d > indels or s + d > most:
+            continue
+        if i == len(a) and j == len(b):
+            best = s + d if best is None else min(best, s + d)
+            continue
+        if i < len(a) and j < len(b):
+            turns.append((i + 1, j + 1, s + (a[i] != b[j]), d))
+        turns += [(i + 1, j, s, d + 1)] * (i < len(a)) + [(i, j + 1, s, d + 1)] * (j < len(b))
+    return best
+
+
+@pytest.mark.parametrize("limits", [(2, 2, 3), (0, 1, 1), (1, 2, 2), (3, 1, 4)])
+def test_indels_against_every_alignment(frame, limits):
+    import random
+
+    rng = random.Random(sum(limits))
+    word = lambda n: "".join(rng.choice("ACG") for _ in range(n))
+    tags = sorted({word(6) for _ in range(12)})
+    seen = sorted({word(rng.randrange(1, 9)) for _ in range(60)} - set(tags))
+    panel = frame([("S", x) for x in tags] + [("T", "AAAAAA")], "sampleId string, tag string")
+    want = {}
+    for code in seen:
+        near = sorted((d, x) for x in tags if (d := errors(code, x, *limits)) is not None)
+        if near and (len(near) == 1 or near[0][0] < near[1][0]):
+            want[code] = near[0][1]
+    subs, indels, most = limits
+    codes = frame([("S", x) for x in seen] * 2, "sampleId string, FEATURE string")
+    got = R.feature_corrections(codes, panel, subs, max_indels=indels, max_errors=most)
+    assert {r.FEATURE: r.corrected for r in got.collect()} == want
+    assert want
+
+
+def test_limits_of_a_correction(frame):
+    panel = frame([("S", "AAAA")], "sampleId string, tag string")
+    codes = frame([("S", "AAA")], "sampleId string, FEATURE string")
+    for bad in ({"max_subs": 0}, {"max_indels": -1}, {"max_errors": 0}):
+        with pytest.raises(ValueError):
+            R.feature_corrections(codes, panel, **bad)
+    assert R.feature_corrections(codes, panel, 2).count() == 0
+    assert rows(R.feature_corrections(codes, panel, 0, max_indels=1), "corrected") == {("AAAA",)}
+    assert R.feature_corrections(codes.filter("false"), panel, 0, max_indels=1).count() == 0
+
+
+def test_chained_moves_end_at_the_code_that_stays(frame):
+    sizes = {"AAAA": 1, "AAAC": 3, "AACC": 9, "ACCC": 30, "CCCC": 100, "GGGG": 50, "GGGT": 20}
+    mols = frame([("S", c, "u", "F", n, n) for c, n in sizes.items()], "sampleId string, CELL string, UMI string, FEATURE string, reads bigint, weight bigint")
+    assert rows(R.correct_de_novo(mols, chained=True), "CELL", "reads") == {("CCCC", 143), ("GGGG", 70)}
+    assert rows(R.correct_de_novo(mols), "CELL", "reads") == {("CCCC", 130), ("ACCC", 9), ("AACC", 3), ("AAAC", 1), ("GGGG", 70)}
+
+
 def test_whitelist_needs_one_neighbour(frame):
     mols = frame([("S", c, "u", "F", 1, 1) for c in ("AAAA", "AAAC", "CCCC", "AACC")], "sampleId string, CELL string, UMI string, FEATURE string, reads bigint, weight bigint")
     listed = frame([("AAAA",), ("CCCC",), ("TACC",), ("AATC",)], "CELL string")
