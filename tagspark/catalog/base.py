@@ -123,8 +123,16 @@ class Bed:
         return S.with_admissibility(S.cells_by_set(self.linker), gated)
 
     @cached_property
+    def patterns(self) -> tuple[DataFrame, DataFrame]:
+        return S.offer_patterns(self.members, self.offered, self.universe, self.small)
+
+    @cached_property
+    def offered_verdicts(self) -> DataFrame:
+        return S.combine_offered(self.states, self.members, self.offered, small=self.small)
+
+    @property
     def verdicts(self) -> DataFrame:
-        return S.combine_cells(self.states, self.members, self.offered, self.universe, small=self.small)
+        return S.whole_verdicts(self.offered_verdicts, *self.patterns)
 
 
 def score_sql(n: str, r: str) -> str:

@@ -145,29 +145,45 @@ def samples_gathered(spark, sf):
     return tables.gather_samples(parts, columns)
 
 
-@query("""SELECT 'setCounts' AS "table", count(DISTINCT "setId") AS rows FROM verdicts
-    UNION ALL SELECT 'verdicts', count(*) FROM verdicts UNION ALL SELECT 'offered', count(*) FROM offered
-    UNION ALL SELECT 'cellInList', count(*) FROM listed UNION ALL SELECT 'samplePanel', count(*) FROM samples
-    UNION ALL SELECT 'tagIdentity', count(*) FROM (SELECT DISTINCT tag, identity FROM grp)""")
+_RECORDS = {
+    "verdicts": ("verdicts WHERE state <> 'never asked'", ["setId", "identity"], {"state": "state", "cellsAsked": '"cellsAsked"', "cellsBound": '"cellsBound"', "cellsNotBound": '"cellsNotBound"'}),
+    "setCounts": ("""(SELECT "setId", count(*) FILTER (WHERE state = 'bound') AS b, count(*) FILTER (WHERE state <> 'never asked') AS o FROM verdicts GROUP BY 1)""", ["setId"], {"boundCount": "b", "offeredCount": "o"}),
+    "offered": ("offered", ["sampleId", "identity"], {}),
+    "cellInList": ("listed", ["sampleId", "cellId"], {}),
+    "tagIdentity": ("(SELECT DISTINCT tag, identity FROM grp)", ["tag", "identity"], {}),
+    "cellRawCounts": ('counts k JOIN listed l USING ("sampleId", "cellId")', ["sampleId", "cellId", "tag"], {"umiCount": '"umiCount"'}),
+    "cellBackground": ('ref f JOIN listed l USING ("sampleId", "cellId")', ["sampleId", "cellId"], {"referenceCount": '"referenceCount"'}),
+    "cellCardRows": ('dense d JOIN states s USING ("sampleId", "cellId", identity)', ["sampleId", "cellId", "identity"], {"cellState": "d.state", "reason": "d.reason"}),
+    "cellCardCells": ('linker l JOIN ref f USING ("sampleId", "cellId")', ["setId", "sampleId", "cellId"], {"reason": """CASE WHEN f."referenceCount" > 40 THEN 'cell set aside by the sticky cell limit' END"""}),
+}
+
+
+def _record_sql(table: str) -> str:
+    """A table's rows as texts: its key, and what it holds beside it."""
+    source, keys, held = _RECORDS[table]
+    text = lambda parts: " || '|' || ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts) or "''"
+    return f"""SELECT '{table}' AS "table", {text(k if k in ("tag", "identity") else f'"{k}"' for k in keys)} AS key, {text(held.values())} AS held FROM {source}"""
+
+
+@query(" UNION ALL ".join(map(_record_sql, _RECORDS)))
 def result_tables(spark, sf):
-    """The catalogue of a run; the row counts of some of its tables."""
-    bed = Bed(spark, sf)
-    made = whole_run(bed).tables()
-    names = ["setCounts", "verdicts", "offered", "cellInList", "samplePanel", "tagIdentity"]
+    """Tables of a whole run, row by row: the key and what is held beside it."""
+    made = whole_run(Bed(spark, sf)).tables()
     out = None
-    for name in names:
-        rows = made[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+    for name, (_, keys, held) in _RECORDS.items():
+        text = lambda columns: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]) if columns else F.lit("")
+        rows = made[name].select(F.lit(name).alias("table"), text(keys).alias("key"), text(list(held)).alias("held"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def whole_run(bed: Bed, source: str = "declared", **more):
-    from ..plans.run import Settings, VerdictRun
+    from ..plans.run import WIDE_TABLES, Settings, VerdictRun
     from ..sources.panel import Panel
 
     settings = Settings(
         source=source, gate=roles.GATE, role_column="role", reference_values=("Control",), grouping=roles.GROUPING,
-        contending=tuple(map(tuple, roles.CONTENDING)),
+        contending=tuple(map(tuple, roles.CONTENDING)), wide=WIDE_TABLES,
     )
     return VerdictRun(bed.counts, Panel(bed.panel, [], bed.small), settings, bed.linker, bed.cell_list, **more)
 
@@ -176,7 +192,7 @@ _SHORT = """CASE "sampleId" WHEN '1-URGENT' THEN 'S1' WHEN '2-HIGH' THEN 'S2' WH
 _KEYED = {
     "offered": "offered", "cellInList": "listed", "samplePanel": "samples", "cellBackground": 'ref f JOIN listed l USING ("sampleId", "cellId")',
     "cellRawCounts": 'counts k JOIN listed l USING ("sampleId", "cellId")',
-    "cellPunchLong": "dense",
+    "cellCardRows": 'dense d JOIN states s USING ("sampleId", "cellId", identity)', "cellCardCells": "linker",
 }
 
 

@@ -71,7 +71,8 @@ def competitor_notes(spark, sf):
 @query("""SELECT "setId", count(*) FILTER (WHERE state = 'bound') AS "boundCount", count(*) FILTER (WHERE state <> 'never asked') AS "offeredCount",
     count(*) FILTER (WHERE state IN ('bound', 'not bound')) AS "settledCount", count(*) FILTER (WHERE state = 'unreliable') AS "unsettledCount" FROM verdicts GROUP BY 1""")
 def set_counts(spark, sf):
-    return S.set_counts(Bed(spark, sf).verdicts)
+    bed = Bed(spark, sf)
+    return S.set_counts(bed.offered_verdicts, bed.patterns[0])
 
 
 SET_CELLS = """SELECT l."setId", count(*) AS "cellCount", count(*) FILTER (WHERE r."referenceCount" > 40) AS "cellsSetAside",
@@ -131,13 +132,13 @@ _PUNCH = """state || '|' || "cellsAnswered" || '|' || "cellsAsked" || '|' || coa
 @query(f'SELECT "setId", {_PER_IDENTITY.format("state")} FROM verdicts GROUP BY 1')
 def identity_summary(spark, sf):
     bed = Bed(spark, sf)
-    return S.identity_summary(bed.verdicts, bed.universe)
+    return S.identity_summary(bed.offered_verdicts, bed.universe, bed.patterns[0])
 
 
 @query(f'SELECT "setId", {_PER_IDENTITY.format("punch")} FROM (SELECT *, {_PUNCH} AS punch FROM verdicts) GROUP BY 1')
 def identity_punch(spark, sf):
     bed = Bed(spark, sf)
-    return S.identity_punch(bed.verdicts, bed.universe)
+    return S.identity_punch(bed.offered_verdicts, bed.universe, bed.patterns[0])
 
 
 @query("""SELECT "setId", identity, 'read' AS kind, state, CAST("cellsAnswered" AS DOUBLE) AS answered, CAST("cellsAsked" AS DOUBLE) AS asked,
@@ -150,8 +151,9 @@ def punch_decoded(spark, sf):
 
 @query('SELECT "sampleId", "cellId", "setId", identity, state AS "cellState", reason FROM dense')
 def cell_punch_long(spark, sf):
+    """Read back from the card's three tables, none of which has a row for a silent position."""
     bed = Bed(spark, sf)
-    return S.cell_punch_long(bed.states, bed.members, bed.offered, bed.small)
+    return S.read_card(*[stage(df, "card") for df in S.cell_card(bed.states, bed.members, bed.offered, bed.small)], bed.small)
 
 
 @query(f"""SELECT "sampleId", "cellId", "setId", count(*) FILTER (WHERE state = 'bound') AS "boundIdentities", {_PER_IDENTITY.format("state || '|' || coalesce(reason, '')")}
@@ -174,14 +176,14 @@ def punchcard(spark, sf):
     worth = roles.table(spark, sf, "orders").groupBy(set_id.alias("setId")).agg(F.round(F.sum("o_totalprice"), 2).alias("orders"))
     cells = bed.linker.groupBy("setId").agg(F.count(F.lit(1)).alias("cellCount"))
     labels = {i: f"family {i[1:]}" for i in bed.universe}
-    return K.punchcard(S.identity_punch(bed.verdicts, bed.universe), cells, labels, worth)
+    return K.punchcard(S.identity_punch(bed.offered_verdicts, bed.universe, bed.patterns[0]), cells, labels, worth)
 
 
 @query("SELECT DISTINCT identity AS value, identity AS label FROM grp")
 def punchcard_identity_options(spark, sf):
     bed = Bed(spark, sf)
     labels = P.identity_labels(bed.grouping, bed.panel, bed.refs, "property:family", "feature", ["family"])
-    return K.punchcard_identity_options(S.identity_punch(bed.verdicts, bed.universe), labels)
+    return K.punchcard_identity_options(S.identity_punch(bed.offered_verdicts, bed.universe, bed.patterns[0]), labels)
 
 
 @query('SELECT count(DISTINCT "panelId") AS "samplePanelCount" FROM panels')

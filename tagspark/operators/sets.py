@@ -72,15 +72,8 @@ def observed_positions(states: DataFrame, members: DataFrame, offered: DataFrame
 SUMS = ["asked", "inadmissible", "gatedAsked", "observed", "observedInadmissible", "boundRows", "notBoundRows"]
 
 
-def position_sums(
-    states: DataFrame,
-    members: DataFrame,
-    offered: DataFrame,
-    group: str,
-    spine: DataFrame | None = None,
-    small: bool | None = None,
-) -> DataFrame:
-    """Every term of the tally per (group, identity), from one aggregation over asked, observed and spine rows."""
+def position_sums(states: DataFrame, members: DataFrame, offered: DataFrame, group: str, small: bool | None = None) -> DataFrame:
+    """Every term of the tally per offered (group, identity), from one aggregation over asked and observed rows."""
 
     def shaped(df: DataFrame, **given: Column) -> DataFrame:
         return df.select(group, "identity", *[given.get(c, F.lit(0)).cast("bigint").alias(c) for c in SUMS])
@@ -97,9 +90,11 @@ def position_sums(
             notBoundRows=F.when(F.col("state") == t.NOT_BOUND, 1).otherwise(0),
         )
     )
-    if spine is not None:
-        rows = rows.unionByName(shaped(spine))
-    sums = rows.groupBy(group, "identity").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return with_silent_terms(rows.groupBy(group, "identity").agg(*[F.sum(c).alias(c) for c in SUMS]), group)
+
+
+def with_silent_terms(sums: DataFrame, group: str) -> DataFrame:
+    """The sums with what the silent cells of each position vote."""
     silent_unreliable = F.col("inadmissible") - F.col("observedInadmissible")
     silent_not_bound = F.col("asked") - F.col("observed") - silent_unreliable
     wrong = F.raise_error(F.concat(F.lit("negative silent term at "), F.col(group), F.lit("/"), F.col("identity"), F.lit(": cells or states are not unique")))
@@ -117,62 +112,88 @@ def silent_tally(
     states: DataFrame, members: DataFrame, offered: DataFrame, group: str = "sampleId", small: bool | None = None
 ) -> DataFrame:
     """(group, identity, asked, observed, silentUnreliable, silentNotBound) for every offered position."""
-    sums = position_sums(states, members, offered, group, None, small)
+    sums = position_sums(states, members, offered, group, small)
     return sums.select(group, "identity", "asked", "observed", "silentUnreliable", "silentNotBound")
 
 
 SPINE_SLOTS = 64
 
 
-def spine(members: DataFrame, universe: list[str] | DataFrame) -> DataFrame:
-    """(setId, identity) over the whole universe: the rows the result must have.
+def spine(keys: DataFrame, universe: list[str] | DataFrame, key: str) -> DataFrame:
+    """(key, identity) over the whole universe, of a few keys: the patterns of what sets were offered.
 
-    A universe given by name is unfolded from a constant. One too large for that is a frame (identity): the sets are
+    A universe given by name is unfolded from a constant. One too large for that is a frame (identity): the keys are
     repeated over slots and meet the identities of each slot by equality.
     """
-    sets = members.select("setId").distinct()
+    each = keys.select(key).distinct()
     if isinstance(universe, DataFrame):
         slot = F.pmod(F.xxhash64("identity"), F.lit(SPINE_SLOTS)).cast("int")
-        slots = sets.select("setId", F.explode(F.sequence(F.lit(0), F.lit(SPINE_SLOTS - 1))).alias("slot"))
-        return slots.join(universe.select("identity", slot.alias("slot")), "slot").select("setId", "identity")
+        slots = each.select(key, F.explode(F.sequence(F.lit(0), F.lit(SPINE_SLOTS - 1))).alias("slot"))
+        return slots.join(universe.select("identity", slot.alias("slot")), "slot").select(key, "identity")
     identities = F.array(*[F.lit(i) for i in universe]) if universe else F.array().cast("array<string>")
-    return sets.select("setId", F.explode(identities).alias("identity"))
+    return each.select(key, F.explode(identities).alias("identity"))
 
 
-def combine_cells(
-    states: DataFrame,
-    members: DataFrame,
-    offered: DataFrame,
-    universe: list[str] | DataFrame,
-    min_voters: int = t.MIN_VOTERS,
-    min_agreement: float | None = None,
-    small: bool | None = None,
+def _named(values: Column) -> Column:
+    """A short name for a list of texts."""
+    return F.sha2(F.to_json(values), 256)
+
+
+def offer_patterns(members: DataFrame, offered: DataFrame, universe: list[str] | DataFrame, small: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(setId, pattern) of every set, and (pattern, identity) of what a pattern's sets were never offered.
+
+    Samples that offer the same identities are one panel, and a pattern is the panels of a set's samples: there are as
+    many as there are ways to combine declarations, however many sets follow them.
+    """
+    lists = offered.select("sampleId", "identity").groupBy("sampleId").agg(F.array_sort(F.collect_set("identity")).alias("offers"))
+    panels = stage(lists.select("sampleId", _named(F.col("offers")).alias("panel"), "offers"), "panels")
+    pairs = members.select("setId", "sampleId").distinct()
+    of_set = joins.lookup(pairs, panels.select("sampleId", "panel"), ["sampleId"], "left", small).groupBy("setId").agg(F.array_sort(F.collect_set("panel")).alias("panels"))
+    sets = stage(of_set.select("setId", _named(F.col("panels")).alias("pattern"), "panels"), "set-patterns")
+    patterns = sets.select("pattern", F.explode("panels").alias("panel")).distinct()
+    known = panels.select("panel", "offers").dropDuplicates(["panel"])
+    asked = patterns.join(known, "panel").select("pattern", F.explode("offers").alias("identity"))
+    absent = spine(sets, universe, "pattern").join(asked, ["pattern", "identity"], "left_anti")
+    return sets.select("setId", "pattern"), stage(absent, "never-offered")
+
+
+def whole_verdicts(offered_verdicts: DataFrame, sets: DataFrame, absent: DataFrame) -> DataFrame:
+    """A verdict for every identity of the universe: those of the offered positions, and *never asked* for the others.
+
+    `sets` and `absent` are what `offer_patterns` gives. The added rows exist only in this view.
+    """
+    given = {
+        "state": F.lit(t.NEVER_ASKED), "cellsAsked": F.lit(0), "cellsAnswered": F.lit(0), "cellsBound": F.lit(0), "cellsNotBound": F.lit(0),
+        "unreliableReason": F.lit(t.NEVER_OFFERED), "wasCompeted": F.lit("false"), "setId": F.col("setId"), "identity": F.col("identity"),
+    }
+    rows = sets.join(absent, "pattern")
+    types = dict(offered_verdicts.dtypes)
+    added = rows.select(*[given.get(c, F.lit(None)).cast(types[c]).alias(c) for c in offered_verdicts.columns])
+    return offered_verdicts.unionByName(added)
+
+
+def combine_offered(
+    states: DataFrame, members: DataFrame, offered: DataFrame, min_voters: int = t.MIN_VOTERS, min_agreement: float | None = None, small: bool | None = None
 ) -> DataFrame:
-    """One row per (set, identity) of the universe: verdict, support counts and, where unsettled, the reason.
+    """One row per (set, identity) that a cell of the set was asked: verdict, support counts and, where unsettled, the reason.
 
     `members` carries `gated` and `outside` (see `with_admissibility`).
     """
-    sums = position_sums(states, members, offered, "setId", spine(members, universe), small)
+    sums = position_sums(states, members, offered, "setId", small)
     bound = F.col("boundRows")
     not_bound = F.col("notBoundRows") + F.col("silentNotBound")
     answered = bound + not_bound
     agreement = F.greatest(bound, not_bound) / answered
     below = (agreement < min_agreement) if min_agreement is not None else F.lit(False)
-    never, nobody, few = F.col("asked") == 0, answered == 0, answered < min_voters
+    nobody, few = answered == 0, answered < min_voters
     tied = bound == not_bound
     reason = (
-        F.when(never, t.NEVER_OFFERED)
-        .when(nobody, F.when(F.col("gatedAsked") == F.col("asked"), t.ALL_CELLS_GATED).otherwise(t.SET_NO_COMPARATOR))
+        F.when(nobody, F.when(F.col("gatedAsked") == F.col("asked"), t.ALL_CELLS_GATED).otherwise(t.SET_NO_COMPARATOR))
         .when(few, t.TOO_FEW_VOTERS)
         .when(tied, t.TIE)
         .when(below, t.BELOW_AGREEMENT)
     )
-    state = (
-        F.when(never, t.NEVER_ASKED)
-        .when(nobody | few | tied | below, t.UNRELIABLE)
-        .when(bound > not_bound, t.BOUND)
-        .otherwise(t.NOT_BOUND)
-    )
+    state = F.when(nobody | few | tied | below, t.UNRELIABLE).when(bound > not_bound, t.BOUND).otherwise(t.NOT_BOUND)
     return sums.select(
         "setId",
         "identity",
@@ -181,11 +202,25 @@ def combine_cells(
         answered.alias("cellsAnswered"),
         bound.alias("cellsBound"),
         not_bound.alias("cellsNotBound"),
-        F.when(never | nobody | few, F.lit(None).cast("double")).otherwise(agreement).alias("agreement"),
+        F.when(nobody | few, F.lit(None).cast("double")).otherwise(agreement).alias("agreement"),
         reason.alias("unreliableReason"),
     )
 
 
+def combine_cells(
+    states: DataFrame,
+    members: DataFrame,
+    offered: DataFrame,
+    universe: list[str] | DataFrame,
+    min_voters: int = t.MIN_VOTERS,
+    min_agreement: float | None = None,
+    small: bool | None = None,
+) -> DataFrame:
+    """`combine_offered` with a row for every identity of the universe."""
+    sets, absent = offer_patterns(members, offered, universe, small)
+    return whole_verdicts(combine_offered(states, members, offered, min_voters, min_agreement, small), sets, absent)
+
+
 def competitor_notes(verdicts: DataFrame, contending: list[list[str]]) -> DataFrame:
     """Names the bound rivals beside a not-bound verdict. The state stays; an identity may sit in several groups."""
     rivals: dict[str, set] = {}
@@ -203,15 +238,16 @@ def competitor_notes(verdicts: DataFrame, contending: list[list[str]]) -> DataFr
     )
 
 
-def set_counts(verdicts: DataFrame) -> DataFrame:
-    """Per set, in identities: bound, offered, settled, unsettled."""
+def set_counts(verdicts: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Per set, in identities: bound, offered, settled, unsettled. `sets` adds those without an offered identity."""
     state = F.col("state")
-    return verdicts.groupBy("setId").agg(
+    out = verdicts.groupBy("setId").agg(
         F.count_if(state == t.BOUND).alias("boundCount"),
         F.count_if(state != t.NEVER_ASKED).alias("offeredCount"),
         F.count_if(state.isin(t.SETTLED)).alias("settledCount"),
         F.count_if(state == t.UNRELIABLE).alias("unsettledCount"),
     )
+    return out if sets is None else sets.select("setId").join(out, "setId", "left").na.fill(0)
 
 
 def set_cell_counts(members: DataFrame, floored: DataFrame) -> DataFrame:
@@ -246,18 +282,39 @@ def self_disagreement(
     `tag_states` and `offered_tags` are at tag grain, the tag under `identity`. With `scope`, a frame
     (sampleId, tag, scopeId), a set counts only its cells of the samples of one scope and the result is per
     (scopeId, tag). The rate is null where nothing could be compared.
+
+    A set that shows no row of a tag agrees with itself: it only adds its admissible cells, which depend on the tag
+    through the samples that offer it. These sums are taken over the distinct ways in which sets lie in samples, and
+    the (set, tag) pairs that show a row are put right one by one. Sets x tags rows never exist.
     """
     offered = offered_tags.select("sampleId", F.col("tag").alias("identity"))
-    if scope is None:
-        sums = position_sums(tag_states, members, offered, "setId", None, small).withColumn("scopeId", F.lit(""))
-    else:
-        sums = scoped_sums(tag_states, members, offered, scope, small)
-    bound = F.col("boundRows")
-    not_bound = F.col("notBoundRows") + F.col("silentNotBound")
-    compared = sums.withColumn("evaluable", bound + not_bound).filter("evaluable >= 2")
-    per_tag = compared.groupBy("scopeId", F.col("identity").alias("tag")).agg(
-        F.sum("evaluable").alias("cellsCompared"), F.sum(F.least(bound, not_bound)).alias("minorityCells")
+    parts = None
+    if scope is not None:
+        # a tag has one scope in a sample, so the scope rides on the identity
+        marked = scope.select("sampleId", F.col("tag").alias("identity"), F.to_json(F.array("scopeId", "tag")).alias("_key"))
+        tag_states = joins.lookup(tag_states, marked, ["sampleId", "identity"], "inner", small).drop("identity").withColumnRenamed("_key", "identity")
+        offered = offered.join(marked, ["sampleId", "identity"]).select("sampleId", F.col("_key").alias("identity"))
+        parts = F.from_json("identity", "array<string>")
+    in_samples = members.groupBy("setId", "sampleId").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("gated") | F.col("outside")).alias("blocked"))
+    in_samples = stage(in_samples, "set-samples")
+    patterns = offered.groupBy("identity").agg(F.array_sort(F.collect_set("sampleId")).alias("samples"))
+    patterns = stage(patterns.withColumn("pattern", _named(F.col("samples"))), "patterns")
+    silent = unanimous(in_samples, patterns)
+    observed = stage(_observed_sums(tag_states, members, offered, small), "observed")
+    asked = joins.lookup(observed.select("setId", "identity").join(in_samples, "setId"), offered, ["sampleId", "identity"], "left_semi", small)
+    asked = asked.groupBy("setId", "identity").agg(F.sum("cells").alias("asked"), F.sum("blocked").alias("inadmissible"))
+    sums = with_silent_terms(observed.join(asked, ["setId", "identity"]), "setId")
+    bound, not_bound = F.col("boundRows"), F.col("notBoundRows") + F.col("silentNotBound")
+    counted = lambda n: F.when(n >= 2, n).otherwise(0)
+    put_right = sums.groupBy("identity").agg(
+        F.sum(counted(bound + not_bound) - counted(F.col("asked") - F.col("inadmissible"))).alias("more"),
+        F.sum(F.when(bound + not_bound >= 2, F.least(bound, not_bound))).alias("minority"),
     )
+    per_tag = patterns.select("identity", "pattern").join(silent, "pattern", "left").join(put_right, "identity", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    per_tag = per_tag.select("identity", (zero("unanimous") + zero("more")).alias("cellsCompared"), zero("minority").alias("minorityCells"))
+    keys = {"scopeId": F.lit("") if parts is None else parts[0], "tag": F.col("identity") if parts is None else parts[1]}
+    per_tag = per_tag.select(*[c.alias(k) for k, c in keys.items()], "cellsCompared", "minorityCells")
     spread = universe if scope is not None else universe.withColumn("scopeId", F.lit(""))
     out = spread.join(per_tag, ["scopeId", "tag"], "left").select(
         "scopeId",
@@ -270,14 +327,29 @@ def self_disagreement(
     return out if scope is not None else out.drop("scopeId")
 
 
-def scoped_sums(states: DataFrame, members: DataFrame, offered: DataFrame, scope: DataFrame, small: bool | None) -> DataFrame:
-    """`position_sums` per (scope, set, tag). A tag has one scope in a sample, so the scope rides on the identity."""
-    marked = scope.select("sampleId", F.col("tag").alias("identity"), F.to_json(F.array("scopeId", "tag")).alias("_key"))
-    own = joins.lookup(states, marked, ["sampleId", "identity"], "inner", small).drop("identity").withColumnRenamed("_key", "identity")
-    asked = offered.join(marked, ["sampleId", "identity"]).select("sampleId", F.col("_key").alias("identity"))
-    sums = position_sums(own, members, asked, "setId", None, small)
-    parts = F.from_json("identity", "array<string>")
-    return sums.withColumn("scopeId", parts[0]).withColumn("identity", parts[1])
+def unanimous(in_samples: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, unanimous): over the sets with two or more admissible cells in a pattern's samples, those cells.
+
+    Sets with as many admissible cells in the same samples are counted before they meet the patterns.
+    """
+    held = in_samples.select("setId", F.struct("sampleId", (F.col("cells") - F.col("blocked")).alias("n")).alias("part")).filter("part.n > 0")
+    alike = held.groupBy("setId").agg(F.array_sort(F.collect_list("part")).alias("parts")).groupBy("parts").agg(F.count(F.lit(1)).alias("sets"))
+    alike = stage(alike.select(_named(F.col("parts")).alias("kind"), "sets", "parts"), "kinds")
+    rows = alike.select("kind", "sets", F.explode("parts").alias("part")).select("kind", "sets", "part.*")
+    where = patterns.select("pattern", "samples").distinct().select("pattern", F.explode("samples").alias("sampleId"))
+    met = joins.lookup(rows, where, ["sampleId"], "inner").groupBy("kind", "pattern").agg(F.sum("n").alias("n"), F.max("sets").alias("sets"))
+    return met.filter("n >= 2").groupBy("pattern").agg(F.sum(F.col("n") * F.col("sets")).alias("unanimous"))
+
+
+def _observed_sums(states: DataFrame, members: DataFrame, offered: DataFrame, small: bool | None) -> DataFrame:
+    """(setId, identity) of the positions that show a row, with the votes of those rows."""
+    seen = observed_positions(states, members, offered, "setId", small)
+    return seen.groupBy("setId", "identity").agg(
+        F.count(F.lit(1)).alias("observed"),
+        F.count_if(F.col("unreliableReason").isNotNull()).alias("observedInadmissible"),
+        F.count_if(F.col("state") == t.BOUND).alias("boundRows"),
+        F.count_if(F.col("state") == t.NOT_BOUND).alias("notBoundRows"),
+    )
 
 
 def set_tag_median(counts: DataFrame, members: DataFrame, offered_tags: DataFrame, small: bool | None = None) -> DataFrame:
@@ -320,13 +392,20 @@ def set_tag_median_table(medians: DataFrame, tags: list[str]) -> DataFrame:
     return medians.groupBy("setId").pivot("tag", sorted(tags)).agg(F.first("medianUmiCount"))
 
 
-def identity_summary(verdicts: DataFrame, universe: list[str]) -> DataFrame:
-    """One row per set, a state column per identity; past the width limit an error, since the long form has every row."""
+def identity_summary(verdicts: DataFrame, universe: list[str], sets: DataFrame | None = None, absent: str = t.NEVER_ASKED) -> DataFrame:
+    """One row per set, a state column per identity; past the width limit an error, since the long form has every row.
+
+    With `sets`, the verdicts may be those of offered positions alone: the others read `absent`.
+    """
     if len(universe) > t.IDENTITY_PIVOT_LIMIT:
         raise ValueError(f"over {t.IDENTITY_PIVOT_LIMIT} columns: use the long form")
     if not universe:
-        return verdicts.select("setId").distinct()
-    return verdicts.groupBy("setId").pivot("identity", sorted(universe)).agg(F.first("state"))
+        return (verdicts if sets is None else sets).select("setId").distinct()
+    wide = verdicts.groupBy("setId").pivot("identity", sorted(universe)).agg(F.first("state"))
+    if sets is None:
+        return wide
+    filled = [F.coalesce(F.col(f"`{c}`"), F.lit(absent)).alias(c) for c in sorted(universe)]
+    return sets.select("setId").join(wide, "setId", "left").select("setId", *filled)
 
 
 PUNCH_FIELDS = ["state", "cellsAnswered", "cellsAsked", "agreement", "unreliableReason", "cellsBound"]
@@ -337,9 +416,12 @@ def punch_column() -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in PUNCH_FIELDS])
 
 
-def identity_punch(verdicts: DataFrame, universe: list[str]) -> DataFrame:
+NEVER_PUNCHED = f"{t.NEVER_ASKED}|0|0||{t.NEVER_OFFERED}|0"
+
+
+def identity_punch(verdicts: DataFrame, universe: list[str], sets: DataFrame | None = None) -> DataFrame:
     """One row per set, everything a reader needs of each identity in one value."""
-    return identity_summary(verdicts.withColumn("state", punch_column()), universe)
+    return identity_summary(verdicts.withColumn("state", punch_column()), universe, sets, NEVER_PUNCHED)
 
 
 def decode_punch(punches: DataFrame, column: str = "punch") -> DataFrame:
@@ -361,31 +443,41 @@ def decode_punch(punches: DataFrame, column: str = "punch") -> DataFrame:
     )
 
 
-def cell_punch_long(
-    states: DataFrame, members: DataFrame, offered: DataFrame, small: bool | None = None
-) -> DataFrame:
-    """(sampleId, cellId, setId, identity, cellState, reason): each member cell at each identity its sample was offered.
+def cell_card(states: DataFrame, members: DataFrame, offered: DataFrame, small: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The card of every member cell without a row for what it was silent on.
 
-    This is the one result that has a row per silent position, because the reader asked for it by cell.
+    (sampleId, cellId, identity, cellState, reason) of the observed positions, (sampleId, cellId, setId, reason) of the cells
+    with what sets a whole cell aside, and (sampleId, identity, comparable) of what samples were offered. `read_card` gives
+    every position from these three.
     """
+    rows = joins.lookup(states, offered.select("sampleId", "identity"), ["sampleId", "identity"], "left_semi", small)
+    rows = rows.join(members.select(*t.CELL), t.CELL, "left_semi").select(*t.CELL, "identity", F.col("state").alias("cellState"), F.col("unreliableReason").alias("reason"))
+    cells = members.select(*t.CELL, "setId", F.when(F.col("gated"), t.GATED).when(F.col("outside"), t.NO_COMPARATOR).alias("reason"))
     comparable = F.col("comparable") if "comparable" in offered.columns else F.lit(True)
-    grid = joins.lookup(members, offered, ["sampleId"], "inner", small).withColumn(
-        "cellReason",
-        F.when(F.col("gated"), t.GATED).when(~comparable | F.col("outside"), t.NO_COMPARATOR),
-    )
-    known = states.select(*t.CELL, "identity", "state", "unreliableReason")
-    return grid.join(known, [*t.CELL, "identity"], "left").select(
+    return rows, cells, offered.select("sampleId", "identity", comparable.alias("comparable"))
+
+
+def read_card(rows: DataFrame, cells: DataFrame, asked: DataFrame, small: bool | None = None) -> DataFrame:
+    """(sampleId, cellId, setId, identity, cellState, reason): each member cell at each identity its sample was offered.
+
+    Has a row per silent position, so it is for the cells or sets that a reader asks for.
+    """
+    grid = joins.lookup(cells.withColumnRenamed("reason", "cellReason"), asked, ["sampleId"], "inner", small)
+    grid = grid.withColumn("cellReason", F.coalesce("cellReason", F.when(~F.col("comparable"), t.NO_COMPARATOR)))
+    return grid.join(rows, [*t.CELL, "identity"], "left").select(
         *t.CELL,
         "setId",
         "identity",
-        F.when(F.col("state").isNotNull(), F.col("state"))
-        .when(F.col("cellReason").isNotNull(), t.UNRELIABLE)
-        .otherwise(t.NOT_BOUND)
-        .alias("cellState"),
-        F.coalesce("unreliableReason", "cellReason").alias("reason"),
+        F.coalesce("cellState", F.when(F.col("cellReason").isNotNull(), t.UNRELIABLE).otherwise(t.NOT_BOUND)).alias("cellState"),
+        F.coalesce("reason", "cellReason").alias("reason"),
     )
 
 
+def cell_punch_long(states: DataFrame, members: DataFrame, offered: DataFrame, small: bool | None = None) -> DataFrame:
+    """`read_card` of what `cell_card` keeps."""
+    return read_card(*cell_card(states, members, offered, small), small)
+
+
 def cell_punch(long: DataFrame, universe: list[str]) -> DataFrame:
     """Wide form of `cell_punch_long`: `state|reason` per identity and how many identities the cell bound."""
     value = F.concat_ws("|", "cellState", F.coalesce("reason", F.lit("")))
@@ -393,10 +485,3 @@ def cell_punch(long: DataFrame, universe: list[str]) -> DataFrame:
     wide = long.withColumn("punch", value).groupBy(*t.CELL, "setId").pivot("identity", columns).agg(F.first("punch"))
     bound = F.filter(F.array(*[F.col(f"`{c}`") for c in columns]), lambda v: v.startswith(f"{t.BOUND}|"))
     return wide.select(*t.CELL, "setId", F.size(bound).cast("bigint").alias("boundIdentities"), *[F.col(f"`{c}`") for c in columns])
-
-
-def cell_punch_gate(members: DataFrame, universe: list[str]) -> bool:
-    """Whether the wide form may be built: not past the width limit nor the limit on its rows."""
-    if not universe or len(universe) > t.IDENTITY_PIVOT_LIMIT:
-        return False
-    return joins.fits(members, t.CELL_PUNCH_LIMIT) and not members.isEmpty()

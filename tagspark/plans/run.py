@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import joins
@@ -29,8 +29,12 @@ RESULT_KEYS = {
     "setTagMedian": ["setId"],
     "identitySummary": ["setId"],
     "identityPunch": ["setId"],
+    "setPatterns": ["setId"],
+    "neverOffered": ["pattern", "identity"],
     "cellPunch": ["setId", "sampleId", "cellId"],
-    "cellPunchLong": ["setId", "sampleId", "cellId", "identity"],
+    "cellCardRows": ["sampleId", "cellId", "identity"],
+    "cellCardCells": ["setId", "sampleId", "cellId"],
+    "cellCardAsked": ["sampleId", "identity"],
     "setTagMedianLong": ["setId", "tag"],
     "cellCounts": ["sampleId", "cellId", "tag"],
     "cellRawCounts": ["sampleId", "cellId", "tag"],
@@ -68,12 +72,15 @@ NO_BASELINE = "no pair of sample and tag could be fitted with the {} cells that
 
 # result tables with a column per identity or tag; each has a long form that is saved as well
 WIDE_TABLES = ("setTagMedian", "identitySummary", "identityPunch", "cellPunch", "cellTagPivot")
+# those that a run makes unasked; cellPunch has a value for every member cell and identity
+WIDE_DEFAULT = tuple(w for w in WIDE_TABLES if w != "cellPunch")
 
 
 @dataclass(frozen=True)
 class Settings:
     """`wide` names the tables that get a column per identity or tag: one that is too wide to build is an error, and
-    leaving its name out leaves its long form. `undeclared_kept` sequences of a sample are listed, all with None."""
+    leaving its name out leaves its long form. `cellPunch` is made only if it is named. `undeclared_kept` sequences of a
+    sample are listed, all with None."""
 
     source: str
     floor: int = t.FLOOR
@@ -92,7 +99,7 @@ class Settings:
     contending: tuple = ()
     sample_labels: dict = field(default_factory=dict)
     lines: dict = field(default_factory=dict)
-    wide: tuple = WIDE_TABLES
+    wide: tuple = WIDE_DEFAULT
     undeclared_kept: int | None = t.UNDECLARED_KEPT
 
 
@@ -258,17 +265,29 @@ class VerdictRun:
         return offered.join(fitted, ["sampleId", "identity"], "left").withColumn("comparable", F.coalesce("comparable", F.lit(False)))
 
     @cached_property
-    def verdicts(self) -> DataFrame:
+    def offered_verdicts(self) -> DataFrame:
+        """The verdicts of offered positions, which are those that are written."""
         s = self.settings
-        universe = self.universe if self.wide else self.identities
-        plain = S.combine_cells(
-            self.states, self.members, self._asked(self.offered, self.grouping), universe, s.min_voters, s.min_agreement, self.small
-        )
+        plain = S.combine_offered(self.states, self.members, self._asked(self.offered, self.grouping), s.min_voters, s.min_agreement, self.small)
         return stage(S.competitor_notes(plain, list(s.contending)), "verdicts")
 
     @cached_property
+    def patterns(self) -> tuple[DataFrame, DataFrame]:
+        """(setId, pattern), and the identities that the sets of a pattern were never offered."""
+        return S.offer_patterns(self.members, self.offered, self.universe if self.wide else self.identities, self.small)
+
+    @property
+    def verdicts(self) -> DataFrame:
+        """A verdict for every set and identity, *never asked* included: a view of what is written."""
+        return S.whole_verdicts(self.offered_verdicts, *self.patterns)
+
+    @cached_property
+    def cell_card(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return S.cell_card(self.states, self.members, self._asked(self.offered, self.grouping), self.small)
+
+    @property
     def cell_punch_long(self) -> DataFrame:
-        return S.cell_punch_long(self.states, self.members, self._asked(self.offered, self.grouping), self.small)
+        return S.read_card(*self.cell_card, self.small)
 
     # --- quality -------------------------------------------------------------------
     @cached_property
@@ -428,13 +447,15 @@ class VerdictRun:
         labels = P.tag_labels(self.panel, self.panel, s.feature_column)
         pivots = labels.select(F.explode(F.array(F.lit("cellTagPivot"), F.lit("setTagMedian"))).alias("table"), "tag", "label")
         out = {
-            "verdicts": answers(self.verdicts),
-            "setCounts": answers(S.set_counts(self.verdicts).join(S.set_cell_counts(self.members, self.floored), "setId", "left")),
+            "verdicts": answers(self.offered_verdicts),
+            "setPatterns": answers(self.patterns[0]),
+            "neverOffered": self.patterns[1],
+            "setCounts": answers(S.set_counts(self.offered_verdicts, self.patterns[0]).join(S.set_cell_counts(self.members, self.floored), "setId", "left")),
             "setTagMedian": S.set_tag_median_table(medians, asked_tags),
             "setTagMedianLong": medians,
-            "cellPunchLong": answers(self.cell_punch_long),
-            "identitySummary": answers(S.identity_summary(self.verdicts, self.universe)),
-            "identityPunch": answers(S.identity_punch(self.verdicts, self.universe)),
+            **{name: answers(df) for name, df in zip(("cellCardRows", "cellCardCells", "cellCardAsked"), self.cell_card)},
+            "identitySummary": answers(S.identity_summary(self.offered_verdicts, self.universe, self.patterns[0])),
+            "identityPunch": answers(S.identity_punch(self.offered_verdicts, self.universe, self.patterns[0])),
             "cellCounts": C.cell_counts(self.floored, self.refs, cells, self.cell_list),
             "cellRawCounts": raw,
             "cellTagPivot": C.cell_tag_pivot(raw, tags) if tags else raw.select(*t.CELL).distinct(),
@@ -495,3 +516,17 @@ class VerdictRun:
             write_table(safe, f"{folder.rstrip('/')}/{name}.parquet", keys or [safe.columns[0]])
             written.append(name)
         return written
+
+
+def saved_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdicts of a saved run for every set and identity."""
+    read = lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return S.whole_verdicts(read("verdicts"), read("setPatterns"), read("neverOffered"))
+
+
+def saved_card(spark: SparkSession, folder: str, cells: DataFrame | None = None) -> DataFrame:
+    """The card of a saved run's cells, silent positions included; of `cells` (sampleId, cellId) alone where given."""
+    rows, own, asked = (spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet") for name in ("cellCardRows", "cellCardCells", "cellCardAsked"))
+    if cells is not None:
+        own = own.join(cells.select(*t.CELL).distinct(), t.CELL, "left_semi")
+    return S.read_card(rows, own, asked)

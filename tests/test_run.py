@@ -4,7 +4,7 @@ import pytest
 from helpers import rows
 
 from tagspark.functions import terms as t
-from tagspark.plans.run import RESULT_KEYS, Settings, VerdictRun
+from tagspark.plans.run import RESULT_KEYS, WIDE_TABLES, Settings, VerdictRun, saved_card, saved_verdicts
 from tagspark.sources.panel import build_panel
 
 ROLES = {"barcode": "Seq", "feature": "Name", "sample": "Sample"}
@@ -57,7 +57,7 @@ def test_a_linker_of_other_samples_is_refused(bed, frame):
 
 def test_every_table_is_made_and_saved(bed, spark, tmp_path):
     data, panel, linker = bed
-    run = VerdictRun(data, panel, settings(), linker)
+    run = VerdictRun(data, panel, settings(wide=WIDE_TABLES), linker)
     written = run.save(str(tmp_path))
     assert set(written) == set(RESULT_KEYS) - {"undeclaredBarcodes", "qcBackgrounds", "qcTagFits", "qcUnfitted"}
     back = spark.read.parquet(str(tmp_path / "setCounts.parquet"))
@@ -66,6 +66,11 @@ def test_every_table_is_made_and_saved(bed, spark, tmp_path):
     record = spark.read.parquet(str(tmp_path / "runMeta.parquet")).first()
     assert (record.cellListSource, record.setCount, record.referenceTags, record.samplePanelCount) == ("clonotype linker", 4, "GGG", 2)
     assert (record.noBaselineReason, record.referenceValues, record.grouping, record.cellPunchEmitted, record.cellPunchCells) == ("", "Control", '{"by": "tag"}', True, 8)
+    assert rows(saved_verdicts(spark, str(tmp_path))) == rows(run.verdicts)
+    assert rows(saved_verdicts(spark, str(tmp_path)).filter(f"state = '{t.NEVER_ASKED}'"), "setId", "identity") == {(k, "TTT") for k in ("K1", "K2", "K3", "K4")} | {("K4", "CCC")}
+    assert rows(saved_card(spark, str(tmp_path))) == rows(run.cell_punch_long)
+    one = saved_card(spark, str(tmp_path), linker.filter("cellId = 'silent'"))
+    assert rows(one, "identity", "cellState", "reason") == {("AAA", t.NOT_BOUND, None)}
     spreads = spark.read.parquet(str(tmp_path / "qcSpreads.parquet"))
     cells = spark.read.parquet(str(tmp_path / "cellBackground.parquet")).count()
     assert spreads.filter("spread = 'referenceReading'").agg({"weight": "sum"}).first()[0] == cells
@@ -74,7 +79,7 @@ def test_every_table_is_made_and_saved(bed, spark, tmp_path):
 
 def test_sample_names_replace_ids_in_keys_and_lists(bed):
     data, panel, linker = bed
-    run = VerdictRun(data, panel, settings(), linker)
+    run = VerdictRun(data, panel, settings(wide=WIDE_TABLES), linker)
     plain, named = run.tables(), run.translated({"S01": "first", "S03": "third"})
     assert set(plain) == set(named)
     assert {r.sampleId for r in named["offered"].collect()} == {"first", "S02", "third"}

@@ -183,4 +183,53 @@ def test_cell_punch(frame):
 def test_a_universe_too_large_to_name_gives_the_same_rows(frame):
     members = frame([("S", "a", "K", False, False), ("S", "b", "L", False, False)], MEMBERS)
     names = [f"I{i}" for i in range(150)]
-    assert rows(S.spine(members, frame([(n,) for n in names], "identity string"))) == rows(S.spine(members, names))
+    large = frame([(n,) for n in names], "identity string")
+    assert rows(S.spine(members, large, "setId")) == rows(S.spine(members, names, "setId"))
+    offered = frame([("S", "I3"), ("S", "I7")], "sampleId string, identity string")
+    sets, absent = S.offer_patterns(members, offered, large)
+    assert rows(absent, "identity") == {(n,) for n in names} - {("I3",), ("I7",)}
+    assert absent.count() == 148 and rows(sets, "setId") == {("K",), ("L",)}
+
+
+def test_patterns_are_as_many_as_the_ways_to_combine_declarations(frame):
+    cells = [(f"S{i % 4}", f"c{i}", f"K{i % 300}", False, False) for i in range(3000)] + [("none", "x", "alone", False, False)]
+    offered = frame([(f"S{s}", i) for s in range(4) for i in (("A", "B") if s < 3 else ("A", "C"))], "sampleId string, identity string")
+    sets, absent = S.offer_patterns(frame(cells, MEMBERS), offered, ["A", "B", "C", "D"])
+    pattern = {r.setId: r.pattern for r in sets.collect()}
+    missing = {}
+    for r in absent.collect():
+        missing.setdefault(r.pattern, set()).add(r.identity)
+    want = {"alone": {"A", "B", "C", "D"}}
+    for sample, _, key, *_ in cells[:-1]:
+        want[key] = want.get(key, {"A", "B", "C", "D"}) - ({"A", "B"} if sample != "S3" else {"A", "C"})
+    assert {k: missing[p] for k, p in pattern.items()} == want
+    assert len(set(pattern.values())) <= 4 and len(pattern) == 301
+
+
+def test_disagreement_against_every_position(frame):
+    """Complement counting beside the dense grid of sets and tags, with scopes and cells set aside."""
+    import random
+
+    rng = random.Random(11)
+    samples, tags = ["S0", "S1", "S2"], [f"T{i}" for i in range(6)]
+    offered = sorted((s, x) for s in samples for x in tags if rng.random() < 0.7)
+    cells = [(rng.choice(samples), f"c{i}", f"K{rng.randrange(12)}", rng.random() < 0.2, rng.random() < 0.1) for i in range(90)]
+    states = [(s, c, x, rng.choice([t.BOUND, t.NOT_BOUND]) if not (g or o) else t.UNRELIABLE) for s, c, _, g, o in cells for s2, x in offered if s2 == s and rng.random() < 0.3]
+    scope = {(s, x): f"P{int(s == 'S2')}" for s, x in offered}
+    votes = {}
+    seen = {(s, c, x): v for s, c, x, v in states}
+    for s, c, k, g, o in cells:
+        for s2, x in offered:
+            if s2 == s and not (g or o):
+                votes.setdefault((scope[s, x], k, x), []).append(seen.get((s, c, x), t.NOT_BOUND) == t.BOUND)
+    want = {}
+    for (p, _, x), v in votes.items():
+        if len(v) >= 2:
+            n, m = want.get((p, x), (0, 0))
+            want[p, x] = n + len(v), m + min(sum(v), len(v) - sum(v))
+    scopes = frame([(s, x, p) for (s, x), p in scope.items()], "sampleId string, tag string, scopeId string")
+    args = frame(state_rows(states), STATES), frame(cells, MEMBERS), frame(offered, "sampleId string, tag string")
+    got = S.self_disagreement(*args, scopes.select("scopeId", "tag").distinct(), scopes)
+    assert {(r.scopeId, r.tag): (r.cellsCompared, r.minorityCells) for r in got.collect() if r.cellsCompared} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan
