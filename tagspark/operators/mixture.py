@@ -26,6 +26,8 @@ SAME_COMPONENT_RTOL = 1e-9
 POISSON_SIZE = 1e6
 MIN_MEAN = 1e-6
 CUT_BLOCK = 256
+# of bounds on the cuts' likelihoods: into how many blocks the counts are put, turn by turn, and the rounding allowed for
+BOUND_BLOCKS, BOUND_SLACK = (6, 16, 48, 128, 400, 1200, 3600), 1e-9
 
 FIT_SCHEMA = (
     "sampleId string, tag string, reason string, cells bigint, backgroundMean double, backgroundSize double, "
@@ -77,9 +79,10 @@ def log_rising(v: np.ndarray, s) -> np.ndarray:
     a, b = v + s + shift, s + shift
     out = (a - 0.5) * np.log1p(v / b) + v * np.log(b) - v
     out = out + (1 / a - 1 / b) / 12 - (1 / a**3 - 1 / b**3) / 360 + (1 / a**5 - 1 / b**5) / 1260
+    skipped = np.ones_like(v)
     for i in range(shift):
-        out = out - np.log1p(v / (s + i))
-    return out
+        skipped = skipped * (1 + v / (s + i))
+    return out - np.log(skipped)
 
 
 def nb_log_mass(v: np.ndarray, mean, size) -> np.ndarray:
@@ -106,32 +109,90 @@ def nb_median(mean: float, size: float) -> float:
         length *= 2
 
 
+class Cuts:
+    """The counts below and above each cut as two negative binomials, with the likelihood of every cut and a bound on it."""
+
+    def __init__(self, v: np.ndarray, w: np.ndarray):
+        self.v, self.w = np.asarray(v, dtype=float), np.asarray(w, dtype=float)
+        zero = np.zeros(1)
+        self.cells, self.total, squares = (np.concatenate([zero, np.cumsum(x)]) for x in (self.w, self.w * self.v, self.w * self.v**2))
+        n = self.cells[-1]
+        self.sides = []
+        for last in (False, True):
+            take = (lambda x: x[-1] - x[1:-1]) if last else (lambda x: x[1:-1])
+            cells, raw = take(self.cells), take(self.total) / take(self.cells)
+            mean = np.maximum(raw, MIN_MEAN)
+            self.sides.append((np.log(cells / n), mean, nb_size(mean, np.maximum(take(squares) / cells - raw**2, 0.0))))
+
+    def scores(self, at: np.ndarray) -> np.ndarray:
+        """Log likelihood of the cuts behind the given positions."""
+        (lw, lm, ls), (hw, hm, hs) = ((a[at, None], m[at, None], s[at, None]) for a, m, s in self.sides)
+        low = np.arange(self.v.size)[None, :] <= at[:, None]
+        weight, mean, size = (np.where(low, x, y) for x, y in ((lw, hw), (lm, hm), (ls, hs)))
+        mass = weight + nb_log_mass(self.v[None, :], mean, size)
+        return np.where(np.isfinite(mass).all(axis=1), (mass * self.w).sum(axis=1), -np.inf)
+
+    def bounds(self, cuts: np.ndarray, blocks: int) -> np.ndarray:
+        """Values that the likelihoods of the cuts behind these positions don't exceed, from a few blocks of counts.
+
+        But for ln Gamma(v + size) - ln Gamma(v + 1), a cut's likelihood is made of prefix sums. That difference is convex
+        in v for sizes up to 1 and concave above, so its sum over a block is at most the chord's over the ends, or the
+        block's cells times its value at their mean.
+        """
+        steps = np.concatenate([np.linspace(0, self.v.size, blocks // 3 + 2), np.searchsorted(self.v, np.geomspace(1, self.v[-1] + 1, blocks))])
+        edges = np.unique(np.concatenate([[0, self.v.size], steps.astype(int)]))
+        out = np.full(cuts.size, 0.0)
+        chunk = max(1, (1 << 19) // edges.size)
+        for start in range(0, cuts.size, chunk):
+            part = cuts[start : start + chunk]
+            for above, (weight, mean, size) in enumerate(self.sides):
+                weight, mean, size = weight[part], mean[part], size[part]
+                # each block's rows on this side of the cut: whole blocks, a part of one, or none
+                low = np.maximum(edges[None, :-1], part[:, None] * above + above)
+                high = np.maximum(np.minimum(edges[None, 1:], self.v.size if above else part[:, None] + 1), low)
+                cells, total = (x[high] - x[low] for x in (self.cells, self.total))
+                out[start : start + chunk] += cells.sum(axis=1) * (weight - size * np.log1p(mean / size)) + total.sum(axis=1) * (np.log(mean) - np.log(size + mean))
+                held = high > low
+                row, block = np.nonzero(held)
+                own, n, t, s = low[row, block], cells[row, block], total[row, block], size[row]
+                shape = lambda x, s: log_rising(x, s) - log_rising(x, 1.0)
+                most = np.empty(row.size)
+                round_, flat = s > 1, s <= 1
+                most[round_] = n[round_] * shape(t[round_] / n[round_], s[round_])
+                left, right = self.v[own[flat]], self.v[high[row, block][flat] - 1]
+                share = (t[flat] - n[flat] * left) / np.where(right > left, right - left, 1.0)
+                most[flat] = (n[flat] - share) * shape(left, s[flat]) + share * shape(right, s[flat])
+                out[start : start + chunk] += np.bincount(row, weights=most, minlength=part.size)
+        return out
+
+
 def best_cut(v: np.ndarray, w: np.ndarray) -> float | None:
-    """The count that best splits the cells into two negative binomials, by classification likelihood; first wins."""
+    """The count that best splits the cells into two negative binomials, by classification likelihood; first wins.
+
+    Branch and bound: cuts are scored in order of their bounds, and none whose bound lies below the best score so far.
+    """
     if v.size < 2:
         return None
-    n = w.sum()
-    below_w, below_s, below_q = np.cumsum(w), np.cumsum(w * v), np.cumsum(w * v * v)
-    sides = []
-    for cells, total, squares in (
-        (below_w[:-1], below_s[:-1], below_q[:-1]),
-        (n - below_w[:-1], below_s[-1] - below_s[:-1], below_q[-1] - below_q[:-1]),
-    ):
-        raw = total / cells
-        mean = np.maximum(raw, MIN_MEAN)
-        sides.append((np.log(cells / n), mean, nb_size(mean, np.maximum(squares / cells - raw**2, 0.0))))
-    best, best_score = None, -np.inf
-    for start in range(0, v.size - 1, CUT_BLOCK):
-        block = slice(start, min(start + CUT_BLOCK, v.size - 1))
-        (lw, lm, ls), (hw, hm, hs) = ((a[block, None], m[block, None], s[block, None]) for a, m, s in sides)
-        low = lw + nb_log_mass(v[None, :], lm, ls)
-        high = hw + nb_log_mass(v[None, :], hm, hs)
-        mass = np.where(v[None, :] <= v[block][:, None], low, high)
-        score = np.where(np.isfinite(mass).all(axis=1), (mass * w).sum(axis=1), -np.inf)
-        top = int(np.argmax(score))
-        if score[top] > best_score:
-            best, best_score = float(v[start + top]), float(score[top])
-    return best
+    cuts = Cuts(v, w)
+    left, best, best_score = np.arange(v.size - 1), None, -np.inf
+
+    def score(at: np.ndarray) -> None:
+        nonlocal best, best_score
+        block = max(1, min(CUT_BLOCK, (1 << 22) // v.size))
+        for start in range(0, at.size, block):
+            some = at[start : start + block]
+            found = cuts.scores(some)
+            top = int(np.argmax(found))
+            if found[top] > best_score or best is not None and found[top] == best_score and some[top] < best:
+                best, best_score = int(some[top]), float(found[top])
+
+    for blocks in BOUND_BLOCKS if v.size > 2 * CUT_BLOCK else ():
+        bounds = cuts.bounds(left, blocks)
+        score(left[np.argmax(bounds)][None])
+        if best is not None:
+            left = left[bounds >= best_score - BOUND_SLACK * abs(best_score)]
+    score(left)
+    return None if best is None else float(v[best])
 
 
 def weighted_quantile(v: np.ndarray, w: np.ndarray, q: float) -> float:
