@@ -137,12 +137,13 @@ def json_report_write(spark, sf):
 
 @query("""SELECT "sampleId", "cellId", tag, "umiCount", "totalWeight" * 2 AS "totalWeight" FROM counts""")
 def samples_gathered(spark, sf):
-    """One table from one frame per sample."""
-    stat = sinks.stage(roles.tag_statistics(spark, sf), "tagstat")
+    """One table from a folder per sample."""
+    stat, folder = roles.tag_statistics(spark, sf), _folder(spark, "tagstat")
     names = [r[0] for r in roles.samples(spark, sf).collect()]
-    parts = {s: stat.filter(F.col("sampleId") == s) for s in names}
+    number = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, f"{i}.parquet")]), F.col("sampleId"))
+    stat.withColumn("file", number).drop("sampleId").write.partitionBy("file").parquet(folder)
     columns = {"CELL": "cellId", "FEATURE": "tag", "unique_UMI": "umiCount", "totalWeight": "totalWeight"}
-    return tables.gather_samples(parts, columns)
+    return tables.gather_samples(spark, {s: f"{folder}/file={i}.parquet" for i, s in enumerate(names)}, columns)
 
 
 _RECORDS = {

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import joins
 from ..functions import terms as t
 from ..functions.text import counted, filled, trim_all
+from ..sources.sinks import stage
 
 
 def property_columns(panel: DataFrame) -> list[str]:
@@ -365,7 +366,6 @@ def panel_barcodes(rows: DataFrame, column: str = "tag") -> DataFrame:
     return found
 
 
-PAIRED_BARCODES = 20_000
 
 
 def hamming(a, b):
@@ -377,31 +377,24 @@ def hamming(a, b):
 def min_pairwise_hamming(barcodes: DataFrame) -> DataFrame:
     """(minDistance): the smallest distance between two barcodes of the panel; null for fewer than two.
 
-    Codes are compared over the shorter one's length, at every size of panel. A panel of bounded size is compared through
-    one array of its codes. A larger one is searched distance by distance: codes within d substitutions agree once
-    some d positions are masked, so equal masks find them.
+    Codes are compared over the shorter one's length. Two that differ in at most d places agree in one of d + 1 segments,
+    so pairs are proposed by equality on a segment and counted out; d grows until a pair within d is there. Many codes
+    lie close together, so the search ends while segments are long. The same plan serves a panel of any size.
     """
     codes = barcodes.select("tag").distinct()
-    if joins.fits(codes, PAIRED_BARCODES):
-        others = codes.select(F.array_sort(F.collect_list("tag"))).scalar()
-        nearest = F.array_min(
-            F.transform(F.filter(F.col("others"), lambda x: x > F.col("tag")), lambda x: hamming(F.col("tag"), x))
-        )
-        return codes.withColumn("others", others).agg(F.min(nearest).alias("minDistance"))
-    # over the shorter of two codes: longer ones are cut to each length that occurs, and one of a pair has that length
-    lengths = sorted(r[0] for r in codes.select(F.length("tag")).distinct().collect())
-    cuts = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("tag"))
-    masks = codes.select("tag", F.explode(cuts).alias("n")).select(
-        "n", (F.length("tag") == F.col("n")).alias("whole"), F.expr("substring(tag, 1, n)").alias("mask"), F.lit(0).alias("last")
-    )
-    for distance in range(0, lengths[-1] + 1):
-        if distance:
-            masks = (
-                masks.filter(F.col("last") < F.col("n"))
-                .select("n", "whole", "mask", F.explode(F.sequence(F.col("last") + 1, F.col("n"))).alias("last"))
-                .withColumn("mask", F.overlay("mask", F.lit("*"), F.col("last"), F.lit(1)))
-            )
-        met = masks.groupBy("n", "mask").agg(F.count(F.lit(1)).alias("codes"), F.max("whole").alias("whole"))
-        if not met.filter("codes > 1 and whole").isEmpty():
+    # longer codes are cut to each length that occurs, and one of a pair has that length
+    lengths = sorted(r[0] for r in codes.select(F.length("tag")).filter("length(tag) is not null").distinct().collect())
+    cuts = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("tag"))
+    cut = codes.select("tag", F.explode(cuts).alias("n")).select("n", F.expr("substring(tag, 1, n)").alias("code"), (F.length("tag") == F.col("n")).alias("whole"))
+    cut = stage(cut.groupBy("n", "code").agg(F.count(F.lit(1)).alias("codes"), F.max("whole").alias("whole")), "codes")
+    found = 0 if not cut.filter("codes > 1 and whole").isEmpty() else None
+    for most in range(1, (lengths or [0])[-1] + 1):
+        if found is not None:
             break
-    return codes.sparkSession.range(1).select(F.lit(distance).alias("minDistance"))
+        segments = cut.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(most))))
+        start, end = F.expr(f"at * n div {most + 1}").cast("int"), F.expr(f"(at + 1) * n div {most + 1}").cast("int")
+        segments = segments.select("n", "at", F.substring("code", start + 1, end - start).alias("segment"), "code", "whole")
+        other = segments.withColumnsRenamed({"code": "code2", "whole": "whole2"})
+        pairs = segments.join(other, ["n", "at", "segment"]).filter("code < code2 and (whole or whole2)")
+        found = pairs.select(hamming(F.col("code"), F.col("code2")).alias("d")).filter(F.col("d") <= most).agg(F.min("d")).first()[0]
+    return codes.sparkSession.range(1).select(F.lit(found).cast("int").alias("minDistance"))

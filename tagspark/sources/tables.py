@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import joins
 from ..functions.text import key
 
 READ_QC_COLUMNS = [
@@ -17,7 +16,6 @@ READ_QC_COLUMNS = [
     "aggregateBarcodeThreshold",
 ]
 UMI_HINT = ". A UMI count is a count of observations; a blank or a decimal is not one."
-SHOWN_BAD_VALUES = 5
 
 
 def read_strings(spark: SparkSession, path, what: str, needed: list[str], sep: str = ",", multi_line: bool = False) -> DataFrame:
@@ -37,20 +35,14 @@ def read_strings(spark: SparkSession, path, what: str, needed: list[str], sep: s
 
 
 def with_whole_numbers(df: DataFrame, what: str, columns: list[str], hint: dict[str, str] | None = None) -> DataFrame:
-    """Cast `columns` to whole numbers; a value that is not one stops the read with the values named."""
-    raw = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}
-    cast = {c: F.expr(f"try_cast(trim(cast(`{c}` as string)) as bigint)") for c in columns}
-    clash = reduce(lambda a, b: a | b, [cast[c].isNull() for c in columns])
-    bad = df.filter(clash).select(*[raw[c].alias(c) for c in columns], *[cast[c].isNull().alias(f"_bad_{c}") for c in columns])
-    rows = bad.limit(SHOWN_BAD_VALUES).collect()
-    for c in columns:
-        shown = [r[c] for r in rows if r[f"_bad_{c}"]]
-        if shown:
-            raise ValueError(
-                f"{what} has {c} value(s) that are not whole numbers: "
-                f"{', '.join(map(repr, shown))}{(hint or {}).get(c, '')}"
-            )
-    return df.withColumns(cast)
+    """Cast `columns` to whole numbers; a value that is not one stops the work that reads it, with the value named."""
+
+    def number(c: str) -> Column:
+        raw = F.col(f"`{c}`").cast("string")
+        message = F.concat(F.lit(f"{what} has {c} value(s) that are not whole numbers: '"), F.coalesce(raw, F.lit("")), F.lit(f"'{(hint or {}).get(c, '')}"))
+        return F.coalesce(F.expr(f"try_cast(trim(cast(`{c}` as string)) as bigint)"), F.raise_error(message).cast("bigint"))
+
+    return df.withColumns({c: number(c) for c in columns})
 
 
 def read_counts(spark: SparkSession, path) -> DataFrame:
@@ -145,10 +137,30 @@ def read_refine_reports(spark: SparkSession, path, sample: str | None = None) ->
     )
 
 
-def gather_samples(parts: dict[str, DataFrame], columns: dict[str, str]) -> DataFrame:
-    """One table from one frame per sample: the sample id added, `columns` kept under their new names."""
-    framed = [
-        df.select(F.lit(sample).alias("sampleId"), *[F.col(old).alias(new) for old, new in columns.items()])
-        for sample, df in sorted(parts.items())
-    ]
-    return reduce(DataFrame.unionByName, framed)
+def gather_samples(spark: SparkSession, paths: dict[str, str], columns: dict[str, str], schema: str | T.StructType | None = None, sep: str = "\t") -> DataFrame:
+    """One table from a file, or a folder of files, per sample: the sample id added, `columns` under their new names.
+
+    All files are read at once, and each row finds its sample by the file it came from, so the plan is as large for a
+    thousand samples as for one. Parquet files are told by their ending; others need a `schema` and have a header.
+    """
+    ends = {p.rstrip("/").endswith(".parquet") for p in paths.values()}
+    if len(ends) != 1 or len(set(paths.values())) != len(paths):
+        raise ValueError("samples must have files of one format, each its own")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    files = [paths[s] for s in sorted(paths)]
+    raw = reader.parquet(*files) if ends == {True} else reader.options(header=True, sep=sep).csv(files)
+    named = spark.createDataFrame([(sample, _qualified(spark, path)) for sample, path in sorted(paths.items())], "sampleId string, _path string")
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"))
+    # a path names the file itself or the folder that it lies in
+    parts = F.array(F.col("_file"), F.regexp_replace("_file", "/[^/]*$", ""))
+    marked = rows.withColumn("_path", F.explode(parts))
+    small = True if len(paths) <= joins.BROADCAST_ROWS else None
+    out = joins.lookup(marked, named, ["_path"], "inner", small)
+    return out.select("sampleId", *[F.col(old).alias(new) for old, new in columns.items()])
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark names it in a file's metadata."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toUri().toString()

@@ -14,8 +14,25 @@ def test_counts_are_stripped_and_typed(spark, tmp_path):
 @pytest.mark.parametrize("bad", ["1.5", "", "x"])
 def test_a_count_that_is_no_count_is_named(spark, tmp_path, bad):
     (tmp_path / "c.csv").write_text(f"sampleId,cellId,tag,umiCount\nS,c,A,1\nS,c,B,{bad}\n")
-    with pytest.raises(ValueError, match="umiCount.*whole numbers"):
-        tables.read_counts(spark, str(tmp_path / "c.csv"))
+    counts = tables.read_counts(spark, str(tmp_path / "c.csv"))
+    with pytest.raises(Exception, match=f"umiCount.*whole numbers: '{bad}'.*a blank or a decimal is not one"):
+        counts.collect()
+    assert counts._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_samples_are_gathered_by_file_in_one_read(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"s {i}.tsv").write_text(f"CELL\tFEATURE\tcount\ttotalWeight\tunique_UMI\nc{i}\tA\t1\t2\t{i}\n")
+    (tmp_path / "folder").mkdir()
+    for k in range(2):
+        (tmp_path / "folder" / f"part{k}.tsv").write_text(f"CELL\tFEATURE\tcount\ttotalWeight\tunique_UMI\nx{k}\tB\t1\t2\t7\n")
+    paths = {f"S{i}": str(tmp_path / f"s {i}.tsv") for i in range(40)} | {"whole": str(tmp_path / "folder")}
+    gather = lambda p: tables.gather_samples(spark, p, {"CELL": "cellId", "unique_UMI": "umiCount"}, tables.tag_stat_schema())
+    assert rows(gather(paths)) == {(f"S{i}", f"c{i}", i) for i in range(40)} | {("whole", "x0", 7), ("whole", "x1", 7)}
+    nodes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert nodes(gather(paths)) == nodes(gather({"S0": paths["S0"]}))
+    with pytest.raises(ValueError):
+        gather({"a": paths["S0"], "b": paths["S0"]})
 
 
 def test_a_missing_column_is_named(spark, tmp_path):

@@ -1,6 +1,7 @@
 """One rule at every size: no result is lost, and no answer changes, past a limit."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagspark.functions import score
 from tagspark.operators import panels as P
@@ -15,13 +16,22 @@ def test_a_cutoff_that_no_table_entry_reaches_is_answered(frame):
     assert score.count_to_reach(99.99999999999999, 1) is not None
 
 
-@pytest.mark.parametrize("limit", [20_000, 1])
-def test_codes_are_compared_over_the_shorter_at_any_size(frame, monkeypatch, limit):
-    monkeypatch.setattr(P, "PAIRED_BARCODES", limit)
+def test_codes_are_compared_over_the_shorter(frame):
     distance = lambda *tags: P.min_pairwise_hamming(frame([(x,) for x in tags], "tag string")).first()[0]
     assert distance("ACGT", "ACGTA") == 0
     assert distance("ACGT", "ACTTA", "GGCCAAA") == 1
     assert distance("AAAA", "TTTT", "AATT") == 2
+    assert distance("AAA", "CCCCC") == 3
+    assert distance("AAAA") is None and distance("AAAA", None, "AAAA") is None
+
+
+def test_the_nearest_codes_of_a_hundred_thousand(spark):
+    """Two letters for each bit and its complement keep codes two apart; one planted pair is closer."""
+    bits = F.lpad(F.conv(F.col("id").cast("string"), 10, 2), 17, "0")
+    codes = spark.range(100_000).select(F.concat(F.translate(bits, "01", "AC"), F.translate(bits, "01", "GT")).alias("tag"))
+    assert P.min_pairwise_hamming(codes).first()[0] == 2
+    near = codes.unionByName(codes.limit(1).select(F.overlay("tag", F.lit("T"), F.lit(1), F.lit(1)).alias("tag")))
+    assert P.min_pairwise_hamming(near).first()[0] == 1
 
 
 def test_a_large_counts_file_is_split(spark, tmp_path):
