@@ -150,11 +150,13 @@ def gather_samples(spark: SparkSession, paths: dict[str, str], columns: dict[str
     files = [paths[s] for s in sorted(paths)]
     raw = reader.parquet(*files) if ends == {True} else reader.options(header=True, sep=sep).csv(files)
     named = spark.createDataFrame([(sample, _qualified(spark, path)) for sample, path in sorted(paths.items())], "sampleId string, _path string")
-    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"))
+    one_slash = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/+", "$1:/")  # noqa: E731  file:/x and file:///x are one file
+    rows = raw.select("*", one_slash(F.col("_metadata.file_path")).alias("_file"))
     # a path names the file itself or the folder that it lies in
     parts = F.array(F.col("_file"), F.regexp_replace("_file", "/[^/]*$", ""))
     marked = rows.withColumn("_path", F.explode(parts))
     small = True if len(paths) <= joins.BROADCAST_ROWS else None
+    named = named.withColumn("_path", one_slash(F.col("_path")))
     out = joins.lookup(marked, named, ["_path"], "inner", small)
     return out.select("sampleId", *[F.col(old).alias(new) for old, new in columns.items()])
 
