@@ -36,42 +36,49 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of items: by length, sorted hashes; by numbered words, the items that hold them."""
+    """The windows of a block of items: for each length their sorted hashes, and where in the items' words each stands."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words_of(text))
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                self.items.setdefault(ids[i : i + size], set()).add(name)
-        self.hashes = {
-            size: np.unique(np.concatenate([_hashes(np.array(k, dtype=np.uint64), size) for k in self.items if len(k) == size]))
-            for size in {len(k) for k in self.items}
-        }
+        number = self.number.setdefault
+        ids = [np.array([number(w, len(self.number) + 1) for w in words_of(text)], dtype=np.uint64) for _, text in items]
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        self.names = [name for name, _ in items]
+        self.ids = np.concatenate([*ids, np.zeros(0, dtype=np.uint64)])
+        self.item = np.repeat(np.arange(len(items)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.ids))  # words from here to the item's end
+        own = np.minimum(np.repeat(sizes, sizes), window)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(own).tolist():
+            starts = np.flatnonzero((own == size) & (left >= size))
+            hashes = _hashes_at(self.ids, starts, size)
+            order = np.argsort(hashes, kind="stable")
+            self.known[size] = hashes[order], starts[order]
 
     def find(self, text: bytes) -> tuple[int, np.ndarray, set[str]]:
-        """Words of the text, which of them are hit, and the items that have a window in it."""
+        """Words of the text, which of them are hit, and the items that have a window in it. Each hit is verified word by word."""
         words = words_of(text)
         ids = np.fromiter(map(self.number.get, words, repeat(0)), dtype=np.uint64, count=len(words))
         hit, found = np.zeros(len(words) + 1, dtype=np.int64), set()
         blank = np.concatenate(([0], np.cumsum(ids == 0)))
-        for size, known in self.hashes.items():
+        for size, (hashes, places) in self.known.items():
             if len(words) < size:
                 continue
             starts = np.flatnonzero(blank[size:] == blank[: len(blank) - size])
             if not len(starts):
                 continue
-            rolled = _hashes_at(ids, starts, size)
-            at = np.searchsorted(known, rolled)
-            at[at == len(known)] = 0
-            for i in starts[known[at] == rolled].tolist():
-                names = self.items.get(tuple(ids[i : i + size].tolist()))
-                if names:
-                    found |= names
-                    hit[i] += 1
-                    hit[i + size] -= 1
+            rolled, turn = np.unique(_hashes_at(ids, starts, size), return_inverse=True)
+            low, high = np.searchsorted(hashes, rolled, "left"), np.searchsorted(hashes, rolled, "right")
+            for k in np.flatnonzero(high > low).tolist():
+                place = places[low[k] : high[k]]
+                for i in starts[turn == k].tolist():
+                    same = np.ones(len(place), dtype=bool)
+                    for j in range(size):
+                        same &= self.ids[place + j] == ids[i + j]
+                    if same.any():
+                        found.update(self.names[x] for x in np.unique(self.item[place[same]]).tolist())
+                        hit[i] += 1
+                        hit[i + size] -= 1
         return len(words), np.cumsum(hit[:-1]) > 0, found
 
 
@@ -83,10 +90,6 @@ def _hashes_at(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def _hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    return _hashes_at(ids, np.arange(len(ids) - size + 1), size)
-
-
 def item_blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int):
     """The items in blocks of bounded bytes, ready to be broadcast."""
     items = pick(benchmark, id_column, text_column).toDF("item", "text").filter("text is not null")
@@ -98,14 +101,18 @@ def item_blocks(benchmark: DataFrame, id_column: str, text_column: str, block_by
         yield [(r["item"], bytes(r["text"])) for r in part.collect()]
 
 
-_built: dict = {}
+_built: dict[tuple[str, int], Windows] = {}
+#: Built blocks of items that a worker keeps.
+KEPT_BLOCKS = 2
 
 
 def _windows(name: str, cast, window: int) -> Windows:
-    """A worker's own copy of the hash set, built once for a broadcast; one is kept at a time."""
-    if _built.get("name") != (name, window):
-        _built.update(name=(name, window), windows=Windows(cast.value, window))
-    return _built["windows"]
+    """A worker's own copy of a block's windows, built once while no more blocks than it may keep are in use."""
+    if (name, window) not in _built:
+        while len(_built) >= KEPT_BLOCKS:
+            del _built[next(iter(_built))]
+        _built[name, window] = Windows(cast.value, window)
+    return _built[name, window]
 
 
 def find_all(casts: list, texts: list[bytes], window: int) -> list[tuple[int, np.ndarray, set[str]]]:

@@ -124,10 +124,26 @@ def comments(r: Random) -> str:
     return boxed(r, f"<h3>{words(r, 1, 2)}</h3>{listed}", 0, None, ["comments", "comment-list", "discussion", "responses", "reader-comments", "disqus"], 0.0)
 
 
+def beside(html: str, seed: int) -> str:
+    """The article of some pages with buttons, hidden parts and fallbacks of images after its paragraphs."""
+    r = Random(f"beside {seed}")
+    if r.random() < 0.7:
+        return html
+    extra = (
+        lambda: f"<button>{word(r)}</button>",
+        lambda: '<noscript><img src="x"></noscript>',
+        lambda: f'<div aria-hidden="true">{r.choice(("", word(r)[:1], word(r), sentences(r, 1, 2)))}</div>',
+        lambda: f'<p hidden="hidden">{sentences(r, 1, 2)}</p>',
+        lambda: f'<div style="display:none">{sentences(r, 1, 1)}</div>',
+    )
+    parts = html.split("</p>")
+    return "".join(part + ("</p>" + (r.choice(extra)() if r.random() < 0.5 else "") if i < len(parts) - 1 else "") for i, part in enumerate(parts))
+
+
 def page(seed: int) -> str:
     """One labelled page."""
     r = Random(seed)
-    main = article(r)
+    main = beside(article(r), seed)
     if r.random() < 0.08:
         main = "".join(f"<p>{sentences(r, 1, 4)}</p>" for _ in range(r.randint(2, 5)))
     if r.random() < 0.1:

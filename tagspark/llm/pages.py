@@ -31,7 +31,7 @@ BLOCKS = set(
 )
 RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = {"head", "button", "select", "optgroup", "option", "noscript"}
+NEVER = {"head", "button", "select", "optgroup", "option"}
 #: An opening tag ends these open ones, up to the elements of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -74,15 +74,17 @@ class Tree:
     features: list[list[int | tuple[int, float]]] = field(default_factory=list)
     edge: list[int] = field(default_factory=list)
     never: list[bool] = field(default_factory=list)
+    mute: list[bool] = field(default_factory=list)  # hidden: decided by what it stands in, which it says nothing of
     text: list[str | None] = field(default_factory=list)
     label: list[int] = field(default_factory=list)
 
-    def add(self, parent, features, edge, never, text=None, label=0) -> int:
+    def add(self, parent, features, edge, never, text=None, label=0, mute=False) -> int:
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.features.append(features)
         self.edge.append(edge)
         self.never.append(never)
+        self.mute.append(never or mute)
         self.text.append(text)
         self.label.append(label)
         return len(self.parent) - 1
@@ -200,9 +202,9 @@ def parse(html: str) -> Tree:
                     break
             node, _, never, label = stack[-1]
             features, tells, hidden, own = element_features(tag, attributes)
-            never = never or hidden or tag in NEVER
+            never = never or tag in NEVER
             label = label if own is None else own
-            stack.append((tree.add(node, features, 0 if tells else 1, never, None, label), tag, never, label))
+            stack.append((tree.add(node, features, 0 if tells else 1, never, None, label, hidden), tag, never, label))
     flush()
     return tree
 
@@ -221,6 +223,7 @@ class Forest:
         self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
         self.edge = np.concatenate([np.array(t.edge) for t in trees])
         self.never = np.concatenate([np.array(t.never, dtype=bool) for t in trees])
+        self.mute = np.concatenate([np.array(t.mute, dtype=bool) for t in trees])
         rows, columns, values, i = [], [], [], 0
         for t in trees:
             for found in t.features:
@@ -234,7 +237,6 @@ class Forest:
 
     def unary(self, w: np.ndarray) -> np.ndarray:
         score = np.bincount(self.rows, weights=w[self.columns] * self.values, minlength=len(self.parent))
-        score[self.never] = -60.0
         return np.stack([np.zeros_like(score), score], axis=1)
 
     def marginals(self, w: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +245,7 @@ class Forest:
         up = np.zeros_like(belief)
         for level in self.levels[:0:-1]:
             up[level] = np.logaddexp.reduce(pair[self.edge[level]] + belief[level][:, None, :], axis=2)
+            up[level[self.mute[level]]] = 0
             np.add.at(belief, self.parent[level], up[level])
         full = belief.copy()
         joint = np.zeros((len(belief), 2, 2))
@@ -252,7 +255,8 @@ class Forest:
             both -= np.logaddexp.reduce(both.reshape(len(level), 4), axis=1)[:, None, None]
             joint[level] = np.exp(both)
             full[level] = belief[level] + np.logaddexp.reduce(rest[:, :, None] + pair[self.edge[level]], axis=1)
-        return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -700, 700))), joint
+        chance = 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -700, 700)))
+        return np.where(self.never, 0.0, chance), joint
 
 
 @dataclass
@@ -277,7 +281,7 @@ def train(trees: list[Tree], steps: int = STEPS, rate: float = 0.15, decay: floa
     forest = Forest(trees)
     y = np.concatenate([np.array(t.label, dtype=float) for t in trees])
     y[forest.never] = 0
-    inner = forest.parent >= 0
+    inner = (forest.parent >= 0) & ~forest.mute
     seen = np.zeros((EDGES, 2, 2))
     np.add.at(seen, (forest.edge[inner], y[forest.parent[inner]].astype(int), y[inner].astype(int)), 1)
     w, pair = np.zeros(SIZE), np.zeros((EDGES, 2, 2))

@@ -85,9 +85,11 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
     """By level, (name, mean, strength) of all labelled hosts, domains and suffixes.
 
     `pages` has page_id and host, `outcomes` page_id and bad (0 or 1); without outcomes no level has rows. The
-    corpus's own share starts from one good and one bad page.
+    corpus's own share starts from one good and one bad page. A page counts once for each host that it stands with, however
+    often its row or its outcome is repeated; outcomes that differ make it bad.
     """
-    labelled = pages.filter("host <> ''").join(outcomes.filter("bad is not null and page_id is not null"), "page_id")
+    once = outcomes.filter("bad is not null and page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
+    labelled = pages.filter("host <> ''").select("page_id", "host").distinct().join(once, "page_id")
     hosts = stage(levels(labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))

@@ -259,3 +259,32 @@ def test_queries_give_the_contract_columns(spark):
         "op9_url_filter": ["page_id", "host", "path", "rule", "verdict"], "op10_simhash": ["doc_id", "fingerprint", "component_id"],
     }
     assert set(expected) == set(queries.QUERIES)
+
+
+def test_many_long_items_are_built_at_once_and_two_blocks_stay_built():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    items = [(str(i), " ".join(f"w{x}" for x in rng.integers(0, 5000, 400)).encode()) for i in range(2000)]
+    began = time.time()
+    whole = decontaminate.Windows(items)
+    assert time.time() - began < 20 and sum(len(h) for h, _ in whole.known.values()) == 2000 * 388
+    text = b"other words " + b" ".join(items[7][1].split()[50:70]) + b" and more"
+    n, hit, found = whole.find(text)
+    assert (n, int(hit.sum()), found) == (24, 20, {"7"})
+
+    class Cast:
+        def __init__(self, value):
+            self.value, self.reads = value, 0
+
+        def __getattribute__(self, name):
+            if name == "value":
+                object.__setattr__(self, "reads", object.__getattribute__(self, "reads") + 1)
+            return object.__getattribute__(self, name)
+
+    casts = [("a", Cast(items[:1000])), ("b", Cast(items[1000:]))]
+    for _ in range(5):
+        assert decontaminate.find_all(casts, [text, b"", items[1500][1]], 13)[2][2] == {"1500"}
+    assert [c.reads for _, c in casts] == [1, 1]

@@ -50,6 +50,19 @@ def test_odd_pages(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+PARTS = ["The river rose in the night and the lower town was flooded by morning.", "People carried what they could up the hill, and waited for boats.", "By noon the water had begun to fall again, slowly, street by street."]
+
+
+@pytest.mark.parametrize("extra", ["<button>Share</button>", '<noscript><img src="a.png"></noscript>', '<div aria-hidden="true"></div>', '<div aria-hidden="true">x</div>', "<div hidden>Some hidden words.</div>", "<select><option>A</option></select>"])
+def test_buttons_and_hidden_parts_leave_the_article_whole(extra):
+    model = pages.trained()
+    for n in (0, 1, 3, 4, 12, 20):
+        body = "<h2>The flood of the year</h2>" + "".join(f"<p>{p}</p>" for p in PARTS) + extra * n
+        html = f'<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav><article>{body}</article><footer>&copy; 2020 Us</footer></body></html>'
+        got = model.content([pages.parse(html)])[0].split("\n")
+        assert got[:4] == ["The flood of the year", *PARTS] and "Home" not in got and "Share" not in got and "A" not in got
+
+
 def test_embedded_elements_are_read_as_markup():
     held = lambda html: [t for t in pages.parse(html).text if t]
     assert held("<p>Sum <math><mi>x</mi></math> here.</p>") == ["Sum x here."]
@@ -101,6 +114,14 @@ def test_reputation_shrinks_few_labels_and_blocks_bad_hosts(spark):
     assert share["good3.site3.com"] < share["one.fresh.com"] < share["spam.bad.com"]
 
 
+def test_repeated_rows_give_the_same_verdicts(spark):
+    pages_ = [(i, f"http://h{i % 4}.example.com/p{i}") for i in range(40)] + [(100 + i, f"http://bad.other.org/{i}") for i in range(3)]
+    outcomes = [(i, int(i % 4 == 0 and i < 8)) for i in range(40)] + [(100 + i, 1) for i in range(3)]
+    frame = lambda k: (spark.createDataFrame(pages_ * k, "page_id long, url string"), spark.createDataFrame(outcomes * k, "page_id long, bad long"))
+    once, often = (sorted(set(map(tuple, urls.judged(*frame(k)).collect()))) for k in (1, 6))
+    assert once == often
+
+
 def test_suffixes(spark):
     df = spark.createDataFrame([("a.b.example.co.uk",), ("example.com",), ("com",), ("x.y.de",), ("co.uk",)], "host string")
     got = {r["host"]: (r["suffix"], r["domain"]) for r in urls.levels(df).collect()}
