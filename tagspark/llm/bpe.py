@@ -53,6 +53,18 @@ def chunks_of(text: str) -> list[str]:
     return _CHUNK.findall(text)
 
 
+class Known(dict):
+    """What `make` returns for a key, for ever: of tokens, whose number is bounded."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+
 class Vocabulary:
     """Ranks of byte strings, and which tokens stay apart side by side."""
 
@@ -63,6 +75,7 @@ class Vocabulary:
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.apart: Bounded = Bounded(lambda pair: self._stay_apart(*pair), limit=1 << 19)
         self.ends: dict[bytes, int] = {}  # last tokens of short prefixes, which many pieces share
+        self.whole = Known(self._whole)
 
     def last_merge(self, token: int) -> tuple[int, int] | None:
         """The two tokens that merging joins last to form this one; None for a byte and where merging forms another."""
@@ -84,7 +97,7 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def whole(self, token: int) -> bool:
+    def _whole(self, token: int) -> bool:
         """Does merging the token's bytes give the token?"""
         return len(self.bytes[token]) == 1 or self.last_merge(token) is not None
 
@@ -114,19 +127,21 @@ class Prefixes:
 
     def append(self, more: bytes) -> "Prefixes":
         v = self.vocabulary
-        ranks, apart, last, ends = v.ranks, v.apart, self.last, v.ends
-        start, piece = len(self.piece), self.piece + more
-        self.piece = piece
+        token_of, apart, whole, last, ends = v.ranks.get, v.apart, v.whole, self.last, v.ends
+        start, longest = len(self.piece), v.longest
+        piece = self.piece = self.piece + more
         if len(ends) >= ENDS_KEPT:
             ends.clear()
         for end in range(start + 1, len(piece) + 1):
             prefix = piece[:end] if end <= ENDS_LENGTH else None
             token = ends.get(prefix)
             if token is None:
-                for begin in range(max(0, end - v.longest), end):
-                    token = ranks.get(piece[begin:end])
-                    if token is not None and (begin == 0 or apart[last[begin], token]) and v.whole(token):
-                        break
+                token = token_of(piece[:end]) if end <= longest else None
+                if token is None or not whole[token]:
+                    for begin in range(max(1, end - longest), end):
+                        token = token_of(piece[begin:end])
+                        if token is not None and apart[last[begin], token] and whole[token]:
+                            break
                 if prefix is not None:
                     ends[prefix] = token
             last.append(token)
@@ -155,7 +170,6 @@ class Encoder:
         self.vocabulary = Vocabulary(ranks)
         self.pattern, self.quick = regex.compile(pattern), quick_pattern(pattern)
         self.pieces = Bounded(self._piece, limit=400_000)
-        self.chunks = Bounded(lambda c: tuple(chain.from_iterable(map(self.pieces.__getitem__, self.quick.findall(c)))), limit=500_000)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
@@ -165,7 +179,7 @@ class Encoder:
     def encode(self, data: bytes) -> list[int]:
         text = data.decode()
         if self.quick is not None and is_plain(data):
-            return list(chain.from_iterable(map(self.chunks.__getitem__, chunks_of(text))))
+            return list(chain.from_iterable(map(self.pieces.__getitem__, self.quick.findall(text))))
         return list(chain.from_iterable(self.pieces[m.group()] for m in self.pattern.finditer(text)))
 
     def decode(self, ids: list[int]) -> bytes:
