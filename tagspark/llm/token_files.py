@@ -36,14 +36,19 @@ class Words:
         split = json.loads(self.library.to_str())["pre_tokenizer"]["pretokenizers"][0]
         self.quick, self.shown = quick_pattern(split["pattern"]["Regex"]), printable_bytes()
         self.pieces = Bounded(self._piece, limit=700_000)
-        self.words = Bounded(lambda word: b"".join(map(self.pieces.__getitem__, self.quick.findall(word))), limit=700_000)
+        self.words = Bounded(self._word, limit=700_000)
+        self.bytes = [int(i).to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        merged = self.library.model.tokenize("".join(map(self.shown.__getitem__, piece.encode())))
-        return np.array([t.id for t in merged], dtype="<u4").tobytes()
+        shown = piece if piece.isascii() and piece.isalnum() else "".join(map(self.shown.__getitem__, piece.encode()))
+        return b"".join([self.bytes[t.id] for t in self.library.model.tokenize(shown)])
+
+    def _word(self, word: str) -> bytes:
+        parts = self.quick.findall(word)
+        return self._piece(word) if len(parts) == 1 and parts[0] == word else b"".join(map(self.pieces.__getitem__, parts))
 
     def ids(self, data: bytes) -> bytes:
         """The ids as little-endian 32-bit numbers, by words where the text holds nothing unusual, else as a whole."""
@@ -76,14 +81,15 @@ def write_tokens(
     sized = dealt.sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
 
     def run(batches):
-        code, before = words(path), 0
+        code, before, end = words(path), 0, np.array([end_id], dtype="<u4").tobytes()
         for batch in slices(batches, "text"):
-            found = [np.append(np.frombuffer(code.ids(t), dtype="<u4"), np.uint32(end_id)) for t in batch.column("text").to_pylist()]
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            found = [code.ids(t) for t in batch.column("text").to_pylist()]
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4 + 1
             starts = before + np.concatenate(([0], np.cumsum(sizes)[:-1]))
             before = int(starts[-1] + sizes[-1])
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))
+            values = np.frombuffer(end.join([*found, b""]), dtype="<u4").astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield pa.record_batch([batch.column("doc_id"), batch.column("part"), pa.array(starts), pa.array(sizes), ids], names=["doc_id", "part", "before", "n_tokens", "ids"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -127,9 +133,9 @@ def read_digests(spark: SparkSession, target: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             lists = batch.column("ids")
-            values = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
+            values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<u4")
             ends = lists.offsets.to_numpy()
-            crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            crcs = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "part", "before", "n_tokens")), pa.array(crcs, pa.int64())], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
 
     stored = spark.read.parquet(target).select("doc_id", "part", "before", "n_tokens", "ids")
