@@ -35,8 +35,8 @@ class Words:
         self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         split = json.loads(self.library.to_str())["pre_tokenizer"]["pretokenizers"][0]
         self.quick, self.shown = quick_pattern(split["pattern"]["Regex"]), printable_bytes()
-        self.pieces = Bounded(self._piece, limit=700_000)
-        self.words = Bounded(self._word, limit=700_000)
+        self.pieces = Bounded(self._piece, limit=300_000)
+        self.words = Bounded(self._word, limit=500_000)
         self.bytes = [int(i).to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
@@ -82,13 +82,13 @@ def write_tokens(
 
     def run(batches):
         code, before, end = words(path), 0, np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             found = [code.ids(t) for t in batch.column("text").to_pylist()]
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4 + 1
             starts = before + np.concatenate(([0], np.cumsum(sizes)[:-1]))
             before = int(starts[-1] + sizes[-1])
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            values = np.frombuffer(end.join([*found, b""]), dtype="<u4").astype(np.int32)
+            values = np.frombuffer(end.join([*found, b""]), dtype="<i4")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield pa.record_batch([batch.column("doc_id"), batch.column("part"), pa.array(starts), pa.array(sizes), ids], names=["doc_id", "part", "before", "n_tokens", "ids"])
 
@@ -133,7 +133,7 @@ def read_digests(spark: SparkSession, target: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             lists = batch.column("ids")
-            values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<u4")
+            values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<i4")  # the same bytes
             ends = lists.offsets.to_numpy()
             crcs = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "part", "before", "n_tokens")), pa.array(crcs, pa.int64())], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
