@@ -132,13 +132,13 @@ def fit(training: DataFrame, sample: int = SAMPLE, k: int = CLUSTERS) -> Model |
     def run(batches):
         for batch in slices(batches, "text"):
             counts = [grams(t) for t in batch.column("text").to_pylist()]
-            packed = pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in counts], pa.binary())
+            packed = pa.array([c.astype("<f4").tobytes() for c in counts], pa.binary())
             yield pa.record_batch([batch.column("lang"), packed], names=["lang", "counts"])
 
     rows = stage(sampled(training, sample).mapInArrow(run, "lang string, counts binary"), "sample")
     by_lang: dict[str, list] = {}
     for r in rows.orderBy("lang", "counts").toLocalIterator():
-        by_lang.setdefault(r["lang"], []).append(np.frombuffer(r["counts"], dtype="<u2").astype(np.float32))
+        by_lang.setdefault(r["lang"], []).append(np.frombuffer(r["counts"], dtype="<f4"))
     centroids, owner, radius = [], [], []
     languages = sorted(by_lang)
     for i, lang in enumerate(languages):
