@@ -2,18 +2,20 @@
 
 Before any text is read, each string of the vocabulary is tried: those that the pre-tokenizer leaves whole and that
 merging turns into one token are proven, and a pre-token among them counts one. Only other pre-tokens are merged, by the
-library's own model. Texts that hold special strings or characters on whose class Unicode versions differ are
-counted by the library as a whole.
+library's own model. Only texts that hold special strings, or characters that newer versions of Unicode added or moved to
+another kind (so that libraries may differ on them), are counted by the library as a whole.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
-from .bpe import chunks_of, is_plain, quick_pattern
+from .bpe import Known, chunks_of, is_plain, quick_pattern
 from .rows import Bounded, pick, slices, whole_text
 
 LIMIT = 1024
@@ -26,6 +28,19 @@ def printable_bytes() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def kind(character: str, database) -> str:
+    """What a pre-tokenizer tells apart: letter, number, white space or other."""
+    category = database.category(character)
+    if category[0] == "Z" or "\t" <= character <= "\r" or character == "\x85":
+        return "Z"
+    return category[0] if category[0] in "LN" else "other"
+
+
+def is_settled(character: str) -> bool:
+    """Has the character been of one kind since Unicode 3.2? Libraries agree on such characters, whatever their version."""
+    return unicodedata.category(character) != "Cn" and kind(character, unicodedata) == kind(character, unicodedata.ucd_3_2_0)
+
+
 class Counter:
     """Counts tokens as the library's tokenizer at `path` gives them."""
 
@@ -35,7 +50,8 @@ class Counter:
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.shown = printable_bytes()
-        self.quick = quick_pattern(pattern)
+        self.pattern, self.quick = regex.compile(pattern), quick_pattern(pattern)
+        self.settled = Known(is_settled)
         self.whole = self.prove()
         self.merged = Bounded(self._merge, limit=400_000)
         self.counts = Bounded(self._count, limit=600_000)
@@ -49,20 +65,34 @@ class Counter:
                 text = bytes(back[c] for c in shown).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
-            if is_plain(text.encode()) and self.quick.fullmatch(text) and len(self.library.model.tokenize(shown)) == 1:
+            if self.is_settled(text) and self.pattern.fullmatch(text) and len(self.library.model.tokenize(shown)) == 1:
                 proven.append(text)
         return frozenset(proven)
 
+    def is_settled(self, text: str) -> bool:
+        return all(map(self.settled.__getitem__, set(text)))
+
     def _merge(self, piece: str) -> int:
         return len(self.library.model.tokenize("".join(map(self.shown.__getitem__, piece.encode()))))
 
+    def _sum(self, pieces: list[str]) -> int:
+        return sum(1 if p in self.whole else self.merged[p] for p in pieces)
+
     def _count(self, chunk: str) -> int:
-        return sum(1 if p in self.whole else self.merged[p] for p in self.quick.findall(chunk))
+        return self._sum(self.quick.findall(chunk))
+
+    def by_pieces(self, data: bytes) -> int | None:
+        """The count by pre-tokens; None for a text with a special string or an unsettled character."""
+        if any(s in data for s in self.specials):
+            return None
+        text = data.decode()
+        if self.quick is not None and is_plain(data):
+            return sum(map(self.counts.__getitem__, chunks_of(text)))
+        return self._sum(self.pattern.findall(text)) if self.is_settled(text) else None
 
     def count(self, data: bytes) -> int:
-        if not is_plain(data) or any(s in data for s in self.specials):
-            return len(self.library.encode(data.decode(), add_special_tokens=False).ids)
-        return sum(map(self.counts.__getitem__, chunks_of(data.decode())))
+        n = self.by_pieces(data)
+        return len(self.library.encode(data.decode(), add_special_tokens=False).ids) if n is None else n
 
 
 @lru_cache(maxsize=1)

@@ -205,6 +205,18 @@ def test_token_counts_equal_the_library(docs, odd, nothing):
     assert token_counts.token_counts(nothing, path, PATTERN).count() == 0
 
 
+def test_token_counts_by_pieces_equal_the_library_on_every_settled_character():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter = token_counts.counter(path, PATTERN)
+    settled = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c < "\ue000" and token_counts.is_settled(c)]
+    assert {"\u2019", "\u2014", "日", "я", "\U0001f600"} < set(settled) and len(settled) > 200_000
+    lines = [f"a{c}b 1{c}2 {c}{c} '{c}\n{c} \t{c}.{c}'s" for c in settled]
+    for at in range(0, len(lines), 20_000):
+        some = lines[at : at + 20_000]
+        assert [counter.by_pieces(t.encode()) for t in some] == [len(e.ids) for e in counter.library.encode_batch(some, add_special_tokens=False)]
+    assert counter.by_pieces("<|endoftext|>".encode()) is None and counter.by_pieces("\u180e".encode()) is None
+
+
 def test_token_files_round_trip(spark, docs, odd, nothing, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
