@@ -96,5 +96,39 @@ def components(prints: dict) -> dict:
     return {d: top(d) for d in ids}
 
 
+def similar(texts, percent=80):
+    """doc_id: smallest doc_id reachable over five-word shingle sets that are as similar."""
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in texts.items() if (w := (t or "").lower().split())}
+    root = {d: d for d in texts}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {d: top(d) for d in texts}
+
+
+def reached(*roots: dict) -> dict:
+    """doc_id: smallest doc_id reachable over the links of all the maps."""
+    root = {d: d for d in roots[0]}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for r in roots:
+        for a, b in r.items():
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    return {d: top(d) for d in root}
+
+
 def crc(ids: list[int]) -> int:
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))

@@ -31,8 +31,9 @@ def test_stages(spark):
             failed = {d for d, t in before.items() if plain.quality(t)[5]}
             assert failed <= gone and len(gone) < len(before) / 2
         elif name == "near_duplicates":
-            roots = plain.components({d: plain.fingerprint(t) for d, t in before.items()})
-            assert gone == {d for d, r in roots.items() if d != r}
+            prints = plain.components({d: plain.fingerprint(t) for d, t in before.items()})
+            roots = plain.reached(prints, plain.similar(before))
+            assert gone == {d for d, r in roots.items() if d != r} and gone > {d for d, r in prints.items() if d != r}
         elif name == "decontamination":
             assert gone == {d for d, t in before.items() if plain.contamination(t, items)[4]}
         elif name == "personal_data":
@@ -47,3 +48,20 @@ def test_stages(spark):
             library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             assert after == {d: library.encode_ordinary(t) for d, t in before.items()}
         before = after
+
+
+def test_run_over_odd_rows_and_no_rows(spark, odd, nothing, tmp_path):
+    """Nulls, repeated rows and clashing columns pass all five stages, and so does a table without rows."""
+    words = " ".join(f"{a}{b}{c}" for a in "abcde" for b in "fghij" for c in "klm")
+    good = spark.createDataFrame([(900, words, None, "s", 1), (900, words, None, "s", 1), (None, words + " more", "en", None, None)], nothing.schema)
+    items = spark.createDataFrame([(1, None), (None, "")], "item_id long, text string")
+    for name, docs in (("odd", odd.unionByName(good, allowMissingColumns=True)), ("none", nothing)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+        if name == "none":
+            assert not got
+        else:
+            assert [r["ids"] for r in got if r["doc_id"] == 900] == [library.encode_ordinary(words)]
+            assert None not in [r["doc_id"] for r in got]
