@@ -20,21 +20,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int | None = None) -> DataFrame:
-    """Of each group of linked fingerprints the row with the smallest doc_id, and no other.
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id, and no other.
 
-    `percent` also links texts whose five-word shingles are as similar; without it the links are op10's alone.
+    Rows are linked by fingerprints of at most two differing bits (three-word shingles), and by sets of five-word shingles of
+    a similarity of at least 0.8, which fingerprints miss. Null texts are empty; all texts without words are one group.
+    Rows without a doc_id give way to those with one. Of rows that repeat id and text one stays. A table without rows gives none.
     """
-    return simhash.one_of_each(docs, links=None if percent is None else near_copies.links(docs, percent))
+    return simhash.one_of_each(docs, links=near_copies.links(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with a benchmark item. The others keep their whole text."""
+    """Documents that are not contaminated with a benchmark item. The others keep their whole text.
+
+    Null and empty texts have no words and stay; repeated rows are judged each.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts masked."""
+    """All documents, with personal data in their texts masked. A null text stays null, an empty one empty."""
     return pii.redacted(docs)
 
 
@@ -55,10 +60,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str, percent: int | None = None) -> DataFrame:
-    """The last stage's rows. `percent` (80, say) makes the second stage take near copies of that similarity as well."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows."""
     docs = table(spark, sf_dir, "documents")
     for name, apply in STAGES:
-        more = {"percent": percent} if apply is near_duplicates else {}
-        docs = stage(apply(spark, docs, sf_dir, **more), name)
+        docs = stage(apply(spark, docs, sf_dir), name)
     return docs
