@@ -10,7 +10,7 @@ from ..operators import reads as R
 from ..operators import states as X
 from ..plans import roles
 from ..sources.sinks import stage
-from .base import Bed, aggregate_sql, query, r6, rounded
+from .base import Bed, aggregate_sql, query, r6, rounded, score_sql
 from .inputs import bed_read_qc, whole_run
 
 _ROUNDED_QC = ["matchedFraction", "panelAssignedFraction", "featureDroppedShare", "cellBarcodeValidFraction", "aggregateBarcodeFraction"]
@@ -190,8 +190,9 @@ _MEASURE_ROWS = f"""AND u AS ({_USABLE}), lc AS (SELECT k.* FROM counts k JOIN l
     fl AS (SELECT "sampleId", CAST(sum(low) AS BIGINT) AS f, count(*) FILTER (WHERE NOT kept) AS e, count(*) AS w FROM (SELECT "sampleId", "cellId",
         count(*) FILTER (WHERE "umiCount" < 4) AS low, bool_or("umiCount" >= 4) AS kept FROM counts WHERE tag NOT IN (SELECT tag FROM refs) GROUP BY 1, 2) GROUP BY 1),
     rf AS (SELECT "sampleId", count(*) FILTER (WHERE "referenceCount" > 40) AS g, median("referenceCount") AS med, count(*) FILTER (WHERE "referenceCount" > 0) AS nz, count(*) AS n FROM ({_LISTED_REF}) GROUP BY 1),
-    sc AS (SELECT t."sampleId", median(t."umiCount") AS a, count(*) FILTER (WHERE t.state = 'bound') / count(*) AS b FROM states t JOIN listed l ON l."sampleId" = t."sampleId" AND l."cellId" = t."cellId"
-        WHERE t."unreliableReason" IS NULL GROUP BY 1),
+    sm AS (SELECT t."sampleId", median(t."umiCount") AS a, median(t."referenceCount") AS r, count(*) FILTER (WHERE t.state = 'bound') / count(*) AS b FROM states t
+        JOIN listed l ON l."sampleId" = t."sampleId" AND l."cellId" = t."cellId" WHERE t."unreliableReason" IS NULL GROUP BY 1),
+    sc AS (SELECT "sampleId", a, b, (SELECT min(n) FROM range(0, 4000) t(n) WHERE {score_sql("n", "CAST(sm.r AS BIGINT)")} >= 75) AS c FROM sm),
     rows AS (
     SELECT "sampleId", 'matchedFraction' AS measurement, "matchedFraction" AS value, {_grouped('"readsMatched"')} || ' out of ' || {_grouped('"readsTotal"')} || ' reads parsed' AS detail FROM readqc
     UNION ALL SELECT "sampleId", 'cellBarcodeValidFraction', "cellBarcodeValidFraction", {_grouped('"cellBarcodeIn"')} || ' reads entered correction, ' || {_grouped('"cellBarcodeOut"')} || ' passed' FROM readqc
@@ -206,13 +207,14 @@ _MEASURE_ROWS = f"""AND u AS ({_USABLE}), lc AS (SELECT k.* FROM counts k JOIN l
     UNION ALL SELECT "sampleId", 'cellsSetAside', g, 'Sticky cell limit set at 40 UMIs' FROM rf
     UNION ALL SELECT "sampleId", 'medianControlReading', med, {_grouped("nz")} || ' of ' || {_grouped("n")} || ' cells carry a non-zero control count' FROM rf
     UNION ALL SELECT "sampleId", 'medianAntigenReading', a, NULL FROM sc
+    UNION ALL SELECT "sampleId", 'cutoffCountNeeded', c, NULL FROM sc
     UNION ALL SELECT "sampleId", 'boundReadingShare', b, NULL FROM sc)"""
 
 
 @query(_MEASURE_ROWS + ' SELECT "sampleId", measurement, round(CAST(value AS DOUBLE), 6) AS value, detail FROM rows')
 def sample_measures(spark, sf):
-    """Every reading of every sample; the count needed at the sample's median reference has its own query."""
-    rows = sample_readings(Bed(spark, sf)).filter("measurement <> 'cutoffCountNeeded'")
+    """Every reading of every sample."""
+    rows = sample_readings(Bed(spark, sf))
     return rounded(rows.select("sampleId", "measurement", "value", "detail"), "value")
 
 
@@ -233,25 +235,28 @@ _JUDGED = """CASE WHEN measurement = 'cellsDetected' THEN CASE WHEN value = 0 TH
 
 @query(_MEASURE_ROWS + f""" SELECT "sampleId", measurement, round(CAST(value AS DOUBLE), 6) AS value, detail, CAST(NULL AS VARCHAR) AS reason, {_JUDGED} AS status FROM rows""")
 def sample_report(spark, sf):
-    rows = full_report(spark, sf).filter("measurement <> 'cutoffCountNeeded'")
+    rows = full_report(spark, sf)
     return rounded(rows.select("sampleId", "measurement", "value", "detail", "reason", "status"), "value")
 
 
 @query(_MEASURE_ROWS + f""" SELECT "sampleId", CASE max(CASE {_JUDGED} WHEN 'alert' THEN 2 WHEN 'warn' THEN 1 WHEN 'OK' THEN 0 END) WHEN 2 THEN 'alert' WHEN 1 THEN 'warn' WHEN 0 THEN 'OK' END AS status,
-    count({_JUDGED}) AS judged, count(*) - count({_JUDGED}) + 1 AS unjudged, CAST(0 AS BIGINT) AS "notEvaluated", count(*) + 1 AS entries FROM rows GROUP BY 1""")
+    count({_JUDGED}) AS judged, count(*) - count({_JUDGED}) AS unjudged, CAST(0 AS BIGINT) AS "notEvaluated", string_agg(measurement || ':' || CAST(round(CAST(value AS DOUBLE) * 10000) AS BIGINT) || ':' ||
+    coalesce({_JUDGED}, '') || ':' || coalesce(detail, ''), chr(10) ORDER BY measurement) AS entries FROM rows GROUP BY 1""")
 def sample_report_json(spark, sf):
     report = Q.sample_report_json(full_report(spark, sf))
-    return report.select("sampleId", "status", "judged", "unjudged", "notEvaluated", F.size("measurements").cast("bigint").alias("entries"))
+    one = lambda m: F.concat_ws(":", m["id"], F.round(m["value"] * 10000).cast("bigint"), F.coalesce(m["status"], F.lit("")), F.coalesce(m["detail"], F.lit("")))
+    entries = F.array_join(F.array_sort(F.transform("measurements", one)), "\n")
+    return report.select("sampleId", "status", "judged", "unjudged", "notEvaluated", entries.alias("entries"))
 
 
-_SUMMARY_MEASURES = ", ".join(f"round(CAST(max(value) FILTER (WHERE measurement = '{m}') AS DOUBLE), 6) AS \"{m}\"" for m in Q.SAMPLE_MEASURES if m != "cutoffCountNeeded")
+_SUMMARY_MEASURES = ", ".join(f"round(CAST(max(value) FILTER (WHERE measurement = '{m}') AS DOUBLE), 6) AS \"{m}\"" for m in Q.SAMPLE_MEASURES)
 
 
 @query(_MEASURE_ROWS + f""" SELECT r."sampleId", CAST(any_value(q."readsTotal") AS DOUBLE) AS "readsTotal", CAST(any_value(q."totalUniqueUmis") AS DOUBLE) AS "totalUniqueUmis",
     {_SUMMARY_MEASURES} FROM rows r JOIN readqc q ON q."sampleId" = r."sampleId" GROUP BY 1""")
 def sample_summary(spark, sf):
     out = Q.sample_summary(full_report(spark, sf), roles.samples(spark, sf), bed_read_qc(spark, sf))
-    names = [m for m in Q.SAMPLE_MEASURES if m != "cutoffCountNeeded"]
+    names = Q.SAMPLE_MEASURES
     return rounded(out.select("sampleId", "readsTotal", "totalUniqueUmis", *names), *names)
 
 
