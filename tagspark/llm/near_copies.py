@@ -23,6 +23,8 @@ from .simhash import SEED, components, fingerprint
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 20, 3
+#: Small, since a pair costs the shingles of a text: beyond it a band pairs its members with one of them first.
+CROWD = 3
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, BANDS * ROWS, 1), dtype=np.uint64)
 _FLIP, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 
@@ -98,7 +100,7 @@ def _numbered(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
 
-def links(docs: DataFrame, percent: int = PERCENT, crowd: int = 32, width: int = 3, text_column: str = "text") -> DataFrame:
+def links(docs: DataFrame, percent: int = PERCENT, crowd: int = CROWD, width: int = 3, text_column: str = "text") -> DataFrame:
     """(a, b): links between fingerprints (of `width` words) of texts whose sets of five-word shingles have a Jaccard
     similarity of at least `percent`, enough to connect all that do. Texts without words have none."""
     texts = pick(docs, text_column).toDF("text").select(whole_text().alias("text"))
